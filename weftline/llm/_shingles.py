@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 
 WIDTH = 5
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 300_000
 
 _U = np.uint64
 #: One odd multiplier per word position of a shingle, by splitmix64 from a fixed start.

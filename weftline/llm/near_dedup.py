@@ -13,8 +13,11 @@ one representative (linear in a group of copies). Links make components. Where
 a table still holds several components, its documents go on to an exact
 set-similarity join: their shingles are ordered rarest first, two documents at
 0.75 must share one within the first quarter at positions that leave enough
-room, and only pairs of different components are formed. A pair inside one
-component needs no check, since only membership is asked for.
+room, and only pairs of different components are formed. Where many share such
+a shingle, they are first checked against one representative of its largest
+component, ROUNDS times, which joins most of what belongs together; all pairs
+that then still lie in different components follow. A pair inside one component
+needs no check, since only membership is asked for.
 
 Identical shingle sets are one node from the start, so groups of exact copies,
 even a third of all rows, are pre-aggregated and never compared.
@@ -42,6 +45,8 @@ HALVES = 12
 ROWS = 2
 #: Similarity in percent.
 PERCENT = 75
+#: Rounds of checks against representatives in the completion.
+ROUNDS = 2
 #: Ids are broadcast to fetch texts only while their bytes stay below this.
 BROADCAST_BYTES = 32 << 20
 _ROWS_OUT = 512
@@ -162,9 +167,9 @@ def _tables(nodes: DataFrame) -> DataFrame:
     return stored(keys.join(entries.select("key", F.col("best.node").alias("rep")), "key"), "tables")
 
 
-def _rest(docs: DataFrame, tables: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that may be similar, among the documents
-    of table entries with several components."""
+def _prefixes(docs: DataFrame, tables: DataFrame, comp: DataFrame) -> DataFrame:
+    """(node, comp, n, p, shingle): the first shingles, rarest first, of the documents
+    in table entries with several components; p counts the shingles before."""
     now = tables.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     now = stored(now, "tables")
     mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
@@ -173,26 +178,57 @@ def _rest(docs: DataFrame, tables: DataFrame, comp: DataFrame) -> DataFrame:
         _texts_of(docs, open_).select("node", "comp", "text").mapInArrow(_set_rows, "node long, comp long, n long, shingle long"),
         "shingles",
     )
-    common = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    #: only shingles of several components can link two of them; the others come first, like those of one document
+    spread = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    common = spread.where("low <> high").select("shingle", "df")
     lists = (
         rows.join(common, "shingle")
         .groupBy("node", "comp", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
     )
-    #: a document's shingles without partner come first, so they only shift positions
+    #: shingles without a partner come first, so they only shift the others' positions
     first = F.col("n") - F.size("s")
     last = F.col("n") - F.ceil(F.col("n") * PERCENT / 100)
     prefix = lists.where(first <= last).select("node", "comp", "n", first.alias("first"), F.slice("s", 1, (last - first + 1).cast("int")).alias("s"))
     prefix = prefix.select("node", "comp", "n", "first", F.posexplode("s").alias("at", "s"))
-    prefix = stored(prefix.select("node", "comp", "n", (F.col("first") + F.col("at")).alias("p"), F.col("s.shingle").alias("shingle")), "prefix")
+    return stored(prefix.select("node", "comp", "n", (F.col("first") + F.col("at")).alias("p"), F.col("s.shingle").alias("shingle")), "prefix")
+
+
+def _sides(prefix: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows outside their shingle's largest component, and all rows with in_main, of
+    shingles with several components."""
     split = prefix.join(_majority(prefix, "shingle"), "shingle")
     x = split.where("comp <> main").select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("node", "comp", "n", "p")])
     y = split.select("shingle", (F.col("comp") == F.col("main")).alias("in_main"), *[F.col(c).alias(f"{c}_y") for c in ("node", "comp", "n", "p")])
+    return x, y
+
+
+def _pairs(x: DataFrame, y: DataFrame, which) -> DataFrame:
+    """Pairs (a, b) of different components whose positions leave room for the similarity."""
     room = F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y")) * (100 + PERCENT) >= (F.col("n_x") + F.col("n_y")) * PERCENT
-    pairs = x.join(y, (x.shingle == y.shingle) & (F.col("comp_x") != F.col("comp_y")) & room & (F.col("in_main") | (F.col("node_x") < F.col("node_y"))))
+    pairs = x.join(y, (x.shingle == y.shingle) & (F.col("comp_x") != F.col("comp_y")) & room & which)
     return stored(pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct(), "pairs")
 
 
+def _complete(docs: DataFrame, tables: DataFrame, links: DataFrame) -> DataFrame:
+    """``links`` with those that join the remaining components."""
+    prefix = _prefixes(docs, tables, components(links))
+    for k in range(ROUNDS):
+        x, y = _sides(prefix)
+        best = F.min_by(F.struct(*[c for c in y.columns if c != "shingle"]), F.xxhash64("node_y", F.lit(k)))
+        one = y.where("in_main").groupBy("shingle").agg(best.alias("r")).select("shingle", "r.*")
+        pairs = _pairs(x, one, F.lit(True))
+        if pairs.isEmpty():
+            return links
+        links = links.union(_verify(docs, pairs))
+        comp = components(links).withColumnRenamed("comp", "_comp")
+        joined = prefix.join(comp, "node", "left")
+        prefix = stored(joined.select("node", F.coalesce("_comp", "comp").alias("comp"), "n", "p", "shingle"), "prefix")
+    x, y = _sides(prefix)
+    pairs = _pairs(x, y, F.col("in_main") | (F.col("node_x") < F.col("node_y")))
+    return links if pairs.isEmpty() else links.union(_verify(docs, pairs))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -203,10 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = stored(nodes.agg(F.min("doc_id").alias("node"), F.first("u").alias("u"), F.first("v").alias("v")), "nodes")
     tables = _tables(nodes)
     pairs = tables.where("node <> rep").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
-    links = _verify(docs, stored(pairs, "pairs"))
-    rest = _rest(docs, tables, components(links))
-    if not rest.isEmpty():
-        links = links.union(_verify(docs, rest))
+    links = _complete(docs, tables, _verify(docs, stored(pairs, "pairs")))
     #: rows of one doc_id with several texts: each text's node leads to that document
     same = signed.where("set_key is not null and doc_id is not null").join(nodes.select("set_key", "node"), "set_key")
     several = signed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
