@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from weftline.functions.expr import DUCK, SPARK
+from weftline.plans import relational
+
+
+def _run(name: str):
+    def run(spark, sf_dir):
+        return spark.sql(relational.render(name, SPARK, sf_dir))
+
+    run.__name__ = name
+    return run
+
 
 def queries() -> dict:
-    return {}
+    return {name: _run(name) for name in relational.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: relational.render(name, DUCK) for name in relational.QUERIES}
