@@ -23,6 +23,7 @@ rows are documents of their own. A source without words has target 0.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -173,9 +174,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix in the documents' own columns: a row for each time a document is
     taken, its text cut where the quota ends inside it, ordered by shard and a
     hash. A document that a border between shards cuts goes to the first's shard."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    kept = stored(numbered, "rows")
-    placed = line(kept, ("_row",))
+    #: a row is known by its place in a Parquet file; other tables are written first
+    try:
+        placed_rows = docs.withColumns({"_file": F.xxhash64("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    except AnalysisException:
+        placed_rows = stored(docs, "rows").withColumns({"_file": F.xxhash64("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    placed = line(placed_rows, ("_file", "_row"))
     #: first and last word of each of the two rounds that the quota holds, and the shard
     quota = F.element_at("cuts", -1)
     rounds = [
@@ -183,8 +187,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
                  F.size(F.filter("cuts", lambda c, s=s: c <= s)).alias("shard"), F.lit(k).alias("round"))
         for k, s in enumerate((F.col("start"), F.col("start") + F.col("source_size")))
     ]
-    taken = placed.select("_row", "size", "order", F.explode(F.array(*rounds)).alias("r")).where("r.n > 0")
-    out = kept.join(taken.select(F.col("_row").alias("_r"), "size", "r", "order"), F.col("_row") == F.col("_r"))
+    taken = placed.select(F.col("_file").alias("_f"), F.col("_row").alias("_r"), "size", "order", F.explode(F.array(*rounds)).alias("r")).where("r.n > 0")
+    out = placed_rows.join(taken, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r")))
     pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", -1)
     lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
     cut = F.array_join(F.slice(pieces, 1, (F.col("r.n") + lead).cast("int")), "")
@@ -193,8 +197,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     out = out.select(*[F.col(f"`{c}`") for c in names], text.alias("text"), F.col("r.shard").alias("_shard"), F.xxhash64("order", "r.round").alias("_shuffle"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    #: a shard is dealt over several partitions, each shuffled by itself
-    out = out.repartition(F.col("_shard"), F.pmod("_shuffle", F.lit(16))).sortWithinPartitions("_shard", "_shuffle")
+    #: the join has dealt the rows at random; each partition has its part of every shard and shuffles that
+    out = out.sortWithinPartitions("_shard", "_shuffle")
     return out.select(*docs.columns)
 
 
