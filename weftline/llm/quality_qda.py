@@ -151,9 +151,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, in their own columns, that are not rejected. Statistics are
     computed again beside each row, so that no text is shuffled."""
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), holdout().alias("held_out"), "text")
-    train = held.where(~F.col("held_out")).join(labels.where("quality in (0, 1)").select("doc_id").distinct(), "doc_id", "left_semi")
-    model = fit(stored(train.mapInArrow(_statistics, "doc_id long, held_out boolean, stats array<double>"), "statistics"), labels)
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), holdout().alias("held_out"), "text").where(~F.col("held_out"))
+    model = fit(stored(held.mapInArrow(_statistics, "doc_id long, held_out boolean, stats array<double>"), "statistics"), labels)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
