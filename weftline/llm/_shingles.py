@@ -7,10 +7,8 @@ exactly those), lower-cased over A-Z only.
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 WIDTH = 5
-_CACHE_WORDS = 300_000
 
 _U = np.uint64
 #: One odd multiplier per word position of a shingle, by splitmix64 from a fixed start.
@@ -30,31 +28,47 @@ def constants(n: int, start: int) -> np.ndarray:
         return _splitmix(seq) | _U(1)
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POSITION = constants(WIDTH, 11)
 _LENGTH = constants(WIDTH + 1, 77)
 
 
-class WordHashes(dict):
-    """64-bit hash of each word seen; emptied when full, so memory stays bounded."""
+#: A word's hash is a polynomial of its bytes' random values, modulo 2**64, taken from prefix sums.
+_BYTE = constants(256, 3001)
+_BASE = constants(1, 4001)
+_powers: dict[str, np.ndarray] = {}
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
 
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, at least n of each."""
+    if not _powers or len(_powers["up"]) < n:
+        size = max(1 << 16, 1 << (n - 1).bit_length())
+        inverse = _U(pow(int(_BASE[0]), -1, 1 << 64))
+        with np.errstate(over="ignore"):
+            for name, base in (("up", _BASE[0]), ("down", inverse)):
+                _powers[name] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base)]), dtype=np.uint64)
+    return _powers["up"], _powers["down"]
 
-_words = WordHashes()
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hash of each word of the bytes, in order."""
+    data = np.frombuffer(raw, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], ~_SPACE[data], [0]]).astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    up, down = _power(len(data))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
+        return _splitmix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the 5-word shingles of a text; below five words
     the whole sequence is one shingle; null, empty or blank text: empty."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    n = len(words)
+    w = word_hashes(text.encode("utf-8", "surrogatepass").lower()) if text else np.empty(0, np.uint64)
+    n = len(w)
     if not n:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+        return w
     with np.errstate(over="ignore"):
         if n < WIDTH:
             return _splitmix((w * _POSITION[:n]).sum(dtype=np.uint64, keepdims=True) + _LENGTH[n])

@@ -36,7 +36,7 @@ from weftline.storage import table
 #: Fixed value: the published pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose encodings a worker keeps; beyond it the cache starts anew.
-CACHE_PRETOKENS = 500_000
+CACHE_PRETOKENS = 250_000
 _ROWS_OUT = 256
 
 

@@ -41,7 +41,7 @@ MAX_LETTERS = 64
 ROUNDS = 4
 #: Expected count added to each piece of each language.
 SMOOTHING = 0.02
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 _ROWS_OUT = 512
 _letters = re.compile(r"[^\W\d_]+").findall
 
