@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import _shingles as S
-from weftline.storage import stored, table
+from weftline.storage import arrow_rows, stored, table
 
 HALVES = 12
 ROWS = 2
@@ -115,13 +115,14 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose full shingle sets are similar enough."""
-    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
+    nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ids")
     sets = _texts_of(docs, nodes).mapInArrow(_sets, "node long, shingles binary")
     sets = stored(sets, "sets")
     one = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     other = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     both = pairs.join(one, "b").join(other, "a").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(_linked, "a long, b long"), "links")
+    with arrow_rows(pairs.sparkSession, 256):
+        return stored(both.mapInArrow(_linked, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
