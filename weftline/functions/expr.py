@@ -43,6 +43,13 @@ class Spark:
     def set(self, a: str) -> str:
         return f"array_distinct({a})"
 
+    def unique(self, a: str) -> str:
+        """Without repeats, in order."""
+        return f"array_distinct({a})"
+
+    def at(self, a: str, i: str) -> str:
+        return f"try_element_at({a}, CAST({i} AS INT))"
+
     def both(self, a: str, b: str) -> str:
         return f"array_intersect({a}, {b})"
 
@@ -110,6 +117,12 @@ class Duck(Spark):
     def set(self, a: str) -> str:
         return f"list_distinct({a})"
 
+    def unique(self, a: str) -> str:
+        return f"list_transform(list_filter(list_transform({a}, lambda x, i: {{'x': x, 'i': i}}), lambda s: list_position({a}, s.x) = s.i), lambda s: s.x)"
+
+    def at(self, a: str, i: str) -> str:
+        return f"list_extract({a}, CAST({i} AS BIGINT))"
+
     def both(self, a: str, b: str) -> str:
         return f"list_intersect({a}, {b})"
 
@@ -149,8 +162,29 @@ SPARK, DUCK = Spark(), Duck()
 WORDS = r"[^\pL\pN_\s]"
 WORDS_AND = r"[^\pL\pN_\s&]"
 
-#: Words left out of address keys.
-ADDRESS_STOP = "street road lane avenue floor near block sector phase plot building house shop main cross opposite behind ground nagar colony apartment tower complex suite unit north south east west drive court place city district state india market post office".split()
+#: Words left out of the address keys of the submission form and of the family form.
+ADDRESS_STOP = (
+    "road street near opp opposite behind beside floor flat house plot building cross main lane avenue dist district post state india "
+    "area nagar colony block sector layout circle bhavan complex tower phase stage dept ward village mandal taluk town city line room"
+).split()
+FAMILY_ADDRESS_STOP = (
+    "road street avenue lane drive plot house floor block sector phase colony nagar layout cross main area village district state india near "
+    "behind opposite beside apartment building complex tower society number post office shop market south north east west city town station door flat room gate park"
+).split()
+#: Name words and grams left out of the family form's keys.
+NAME_STOP = "private limited incorporated corporation llc llp plc company and the of dba services service group holdings holding".split()
+GRAM_STOP = "the and inc ltd pvt cor ion ent ing com llc plc ser gro hol lim ite ted ati".split()
+#: Legal forms by pattern, and the form each stands for.
+LEGAL_FORMS = {
+    r"\bcorp\b\.?": "corporation", r"\bcorporation\b": "corporation", r"\binc\b\.?": "incorporated", r"\bincorporated\b": "incorporated",
+    r"\bltd\b\.?": "limited", r"\blimited\b": "limited", r"\bllc\b\.?": "llc", r"\bllp\b\.?": "llp", r"\blp\b\.?": "lp", r"\bco\b\.?": "company",
+    r"\bcompany\b": "company", r"\bpvt\b\.?": "private", r"\bprivate\b": "private", r"\bplc\b\.?": "plc", r"\bgmbh\b": "gmbh", r"\bsa\b\.?": "sa", r"\bsrl\b": "srl", r"\bpty\b": "pty",
+}
+#: Address words and their abbreviations.
+ADDRESS_FORMS = {
+    "road": ("rd", "road"), "street": ("st", "street"), "avenue": ("ave", "avenue"), "boulevard": ("blvd", "boulevard"), "drive": ("dr", "drive"), "lane": ("ln", "lane"),
+    "court": ("ct", "court"), "apartment": ("apt", "apartment"), "suite": ("ste", "suite"), "floor": ("fl", "floor"), "number": ("no", "num"),
+}
 #: Legal forms written out, and web parts left out.
 LEGAL = {"corp": "corporation", "inc": "incorporated", "pvt": "private", "ltd": "limited"}
 WEB = ("www", "http", "https", "com", "net", "org")
@@ -316,26 +350,43 @@ def submission_keys(d: Spark, name: str, addr: str, ctry: str) -> str:
     return d.set(keys)
 
 
+def structured_digits(d: Spark, x: str) -> str:
+    """Runs of two or more digits beside a dash, slash or point. These are doubled
+    first, so that each side of one has its own."""
+    twice = f"replace(replace(replace(coalesce({x}, ''), '-', '--'), '/', '//'), '.', '..')"
+    return d.each(d.found(twice, r"[-./]\d{2,}|\d{2,}[-./]"), "m", d.rep("m", "[^0-9]", ""))
+
+
+def _among(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
 def family_keys(d: Spark, name: str, addr: str, ctry: str) -> str:
-    """np, sn, ng, pin, dg, ad and fb keys over the legal text form (ASCII parts)."""
-    n, a, raw = legal_text(d, name), legal_text(d, addr), f"coalesce({addr}, '')"
-    t = tokens(d, n)
-    stop = ", ".join(f"'{w}'" for w in ADDRESS_STOP)
-    wide = d.cut(d.keep(t, "t", "length(t) >= 4"), 4)
-    short = d.cut(d.keep(t, "t", "length(t) BETWEEN 2 AND 3"), 3)
-    bare = f"replace({n}, ' ', '')"
-    grams = d.cut(ngrams_ordered(d, d.join(d.cut(t, 2), ""), 3), 3)
+    """np, sn, ng, ad, pin, dg and fb keys over the legal text form (ASCII parts)."""
+    n, a, raw, c = legal_text(d, name), legal_text(d, addr), f"coalesce({addr}, '')", f"trim(coalesce({ctry}, ''))"
+    number = d.like("t", "^[0-9]+$")
+    content = d.keep(tokens(d, n), "t", f"length(t) >= 4 AND t NOT IN ({_among(NAME_STOP)})")
+    short = d.keep(tokens(d, n), "t", f"length(t) BETWEEN 2 AND 3 AND NOT {number} AND t NOT IN ({_among(NAME_STOP)})")
+    #: of the first two content tokens, the first three grams that are not left out, repeats aside
+    grams = f"flatten({d.each(d.cut(content, 2), 'w', ngrams_ordered(d, 'w', 3))})"
+    grams = d.keep(grams, "t", f"t NOT IN ({_among(GRAM_STOP)})")
+    addrs = d.keep(tokens(d, a), "t", f"length(t) >= 4 AND NOT {number} AND t NOT IN ({_among(FAMILY_ADDRESS_STOP)})")
     pin = d.cat(d.found(a, r"\b\d{5,6}\b"), d.found(raw, r"\b\d{5,6}\b"))
+    runs = structured_digits(d, addr)
+    pairs = d.each(d.seq("1", f"least({d.size(runs)} - 1, 2)"), "i", f"concat({d.at(runs, 'i')}, {d.at(runs, 'i + 1')})")
+    whole = f"length({n}) BETWEEN 2 AND 5 AND NOT {d.like(n, '^[0-9]+$')}"
+    kind = lambda k, v: d.each(v, "t", f"concat({c}, '|{k}:', t)")
+    start = lambda v: d.each(v, "t", "left(t, 4)")
     keys = d.cat(
-        d.each(wide, "t", "concat('np:', left(t, 4))"),
-        _when(d, f"length({bare}) BETWEEN 2 AND 5", f"concat('sn:', {bare})"),
-        d.each(short, "t", "concat('sn:', t)"),
-        d.each(grams, "t", "concat('ng:', t)"),
-        d.each(pin, "t", "concat('pin:', t)"),
-        d.each(d.cut(d.found(a, r"\d{3,}"), 3), "t", "concat('dg:', t)"),
-        d.each(d.cut(d.keep(tokens(d, a), "t", f"length(t) >= 4 AND t NOT IN ({stop})"), 4), "t", "concat('ad:', left(t, 4))"),
+        kind("np", start(d.cut(content, 4))),
+        _when(d, whole, f"concat({c}, '|sn:', replace({n}, ' ', ''))"),
+        kind("sn", d.cut(short, 3)),
+        kind("ng", d.cut(d.unique(grams), 3)),
+        kind("ad", start(d.cut(addrs, 4))),
+        kind("pin", pin),
+        kind("dg", d.cat(d.cut(d.found(a, r"\d{3,}"), 3), pairs, d.keep(runs, "t", "length(t) >= 3"))),
     )
-    fallback = f"concat('fb:', CASE WHEN {bare} = '' THEN '_' ELSE left({bare}, 3) END)"
+    fallback = f"concat({c}, '|fb:', CASE WHEN {n} = '' THEN '_' ELSE left({n}, 3) END)"
     return f"(CASE WHEN {d.size(keys)} = 0 THEN {d.arr(fallback)} ELSE {d.set(keys)} END)"
 
 

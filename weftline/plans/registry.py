@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from weftline.functions.expr import DUCK, SPARK
-from weftline.plans import relational
+from weftline.plans import frames, relational
 
 
 def _run(name: str):
@@ -15,7 +15,7 @@ def _run(name: str):
 
 
 def queries() -> dict:
-    return {name: _run(name) for name in relational.QUERIES}
+    return {name: _run(name) for name in relational.QUERIES} | frames.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

@@ -171,6 +171,10 @@ for _name, _fn, _src in (
     ("keys_family_ascii", lambda d: X.family_keys(d, "business_name", "business_address", "country"), "p"),
 ):
     QUERIES[_name] = ((_src,), lambda d, f=_fn, s=_src: f"SELECT entity_id, key FROM (SELECT entity_id, {f(d)} AS ks FROM {s} WHERE {ascii_(d, 'business_name', 'business_address')}) t {d.unnest('ks', 'key')}")
+QUERIES["structured_digits"] = (("p",), lambda d: f"SELECT entity_id, run FROM (SELECT entity_id, {X.structured_digits(d, 'business_address')} AS rs FROM p) t {d.unnest('rs', 'run')}")
+QUERIES["keys_family_documents_ascii"] = (("e",), lambda d: f"SELECT entity_id, key FROM (SELECT entity_id, {X.family_keys(d, 'business_name', 'business_address', 'country')} AS ks FROM e WHERE {ascii_(d, 'business_name', 'business_address')}) t {d.unnest('ks', 'key')}")
+QUERIES["legal_forms"] = (("supplier",), lambda d: "SELECT s_suppkey, " + ", ".join(f"{d.like("lower(concat(s_name, ' Co. ', CASE WHEN s_suppkey % 2 = 0 THEN 'Pvt Ltd' ELSE 'Inc' END))", p)} AS f{k}" for k, p in enumerate(X.LEGAL_FORMS)) + " FROM supplier")
+QUERIES["address_forms"] = (("p",), lambda d: "SELECT entity_id, " + ", ".join(f"{d.like("lower(concat(business_address, ' Main St. Fl 2'))", rf'\b({"|".join(v)})\b\.?')} AS has_{k}" for k, v in X.ADDRESS_FORMS.items()) + " FROM p")
 QUERIES["key_families"] = (("k",), lambda d: f"SELECT split_part(key, ':', 1) AS family, {big('count(*)', 'postings')}, {big('count(DISTINCT key)', 'n_keys')} FROM k GROUP BY 1")
 
 # Retrieval.
@@ -253,7 +257,7 @@ QUERIES["miss_diagnostics"] = (("g", "cand", "e"), lambda d: f"SELECT a.country,
 QUERIES["labeled_pairs"] = (("pairs",), lambda d: f"SELECT s1_id, cand_id, candidate_source, {big('label', 'label')}, in_retrieval, label = 0 AND lower(country1) = lower(country2) AS hard_same_country, label = 0 AND {X.sql_name(d, 'name1')} = {X.sql_name(d, 'name2')} AS hard_same_name, label = 0 AND country1 = country2 AND {X.prefix_key(d, 'name1')} = {X.prefix_key(d, 'name2')} AND length({X.prefix_key(d, 'name1')}) >= 3 AS hard_same_cp FROM pairs")
 QUERIES["s1_split"] = (("s1",), lambda d: f"SELECT entity_id, CASE WHEN {d.bucket("concat('7:', entity_id)")} % 10000 < 2000 THEN 'val' ELSE 'train' END AS part FROM s1")
 QUERIES["class_balance"] = (("pairs",), lambda d: f"SELECT {big('sum(label)', 'n_pos')}, {big('count(*) - sum(label)', 'n_neg')}, {r6('(count(*) - sum(label)) / CAST(greatest(sum(label), 1) AS DOUBLE)', 'scale_pos_weight')} FROM pairs WHERE label = 0 OR in_retrieval")
-QUERIES["feature_summary"] = (("sim",), lambda d: f"SELECT {big('label', 'label')}, {r6('avg(name_sim)', 'name_mean')}, {r6('median(name_sim)', 'name_median')}, {r6(d.quantile('addr_sim', 0.25), 'addr_p25')}, {r6(d.quantile('addr_sim', 0.75), 'addr_p75')}, {r6('avg(CASE WHEN name1 = name2 THEN 100.0 ELSE 0.0 END)', 'pct_same_name')} FROM sim GROUP BY label")
+QUERIES["feature_summary"] = (("sim",), lambda d: f"SELECT {big('label', 'label')}, {r6('avg(name_sim)', 'name_mean')}, {r6('median(name_sim)', 'name_median')}, {r6(d.quantile('addr_sim', 0.25), 'addr_p25')}, {r6(d.quantile('addr_sim', 0.75), 'addr_p75')}, {r6('100 * avg(CAST(CASE WHEN name1 = name2 THEN 1 ELSE 0 END AS DOUBLE))', 'pct_same_name')} FROM sim GROUP BY label")
 TRANSFORMS = lambda d: f"""CASE WHEN name1 = name2 THEN 'exact' WHEN lower(name1) = lower(name2) THEN 'case_only' WHEN {X.sql_addr(d, 'name1')} = {X.sql_addr(d, 'name2')} THEN 'punctuation_only'
   WHEN {X.norm_name(d, 'name1')} = {X.norm_name(d, 'name2')} THEN 'ampersand_and' WHEN {X.jaccard(d, X.token_set(d, X.norm_name(d, 'name1')), X.token_set(d, X.norm_name(d, 'name2')))} = 1 THEN 'word_order'
   WHEN {X.levenshtein(d, X.norm_name(d, 'name1'), X.norm_name(d, 'name2'))} >= 0.7 THEN 'typo_or_substitution' WHEN {d.size(d.both(X.token_set(d, X.norm_name(d, 'name1')), X.token_set(d, X.norm_name(d, 'name2'))))} > 0 THEN 'missing_or_extra_words' ELSE 'other_variation' END"""
