@@ -49,6 +49,8 @@ PERCENT = 75
 ROUNDS = 2
 #: Ids are broadcast to fetch texts only while their bytes stay below this.
 BROADCAST_BYTES = 32 << 20
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
 _ROWS_OUT = 512
 
 
@@ -233,6 +235,11 @@ def _complete(docs: DataFrame, tables: DataFrame, links: DataFrame) -> DataFrame
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stored(
         docs.mapInArrow(_signatures, "doc_id long, n_shingles long, set_key binary, u array<long>, v array<long>"), "signatures"
     )
