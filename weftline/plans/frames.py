@@ -52,8 +52,13 @@ def channel_transliteration(spark, sf_dir):
 
 
 def fuzzy_ratios(spark, sf_dir):
-    pairs = _cte(spark, sf_dir, "pairs")
-    return pairs.select("s1_id", "cand_id", U.fuzzy(U.normalize_name(F.col("name1")), U.normalize_name(F.col("name2"))).alias("f")).select("s1_id", "cand_id", "f.*")
+    """Names are normalised once a record and compared once for each two different names."""
+    names = _cte(spark, sf_dir, "e").select("entity_id", U.normalize_name(F.col("business_name")).alias("n"))
+    pairs = _cte(spark, sf_dir, "pairs").select("s1_id", "cand_id")
+    pairs = pairs.join(names.select(F.col("entity_id").alias("s1_id"), F.col("n").alias("n1")), "s1_id")
+    pairs = pairs.join(names.select(F.col("entity_id").alias("cand_id"), F.col("n").alias("n2")), "cand_id")
+    once = pairs.select("n1", "n2").distinct().select("n1", "n2", U.fuzzy("n1", "n2").alias("f"))
+    return pairs.join(once, ["n1", "n2"]).select("s1_id", "cand_id", "f.*")
 
 
 def pair_features_24(spark, sf_dir):

@@ -87,10 +87,16 @@ cte(
     CASE WHEN g.s1_id IS NULL THEN 0 ELSE 1 END AS label, c.s1_id IS NOT NULL AS in_retrieval FROM g FULL OUTER JOIN cand c ON g.s1_id = c.s1_id AND g.matched_id = c.cand_id) t
     JOIN e a ON t.s1_id = a.entity_id JOIN e b ON t.cand_id = b.entity_id"""
 )
-cte("sim", "pairs")(
-    lambda d: f"""SELECT *, {X.jaccard(d, X.token_set(d, X.sql_name(d, 'name1')), X.token_set(d, X.sql_name(d, 'name2')))} AS name_sim,
-    {X.jaccard(d, X.token_set(d, X.sql_addr(d, 'addr1')), X.token_set(d, X.sql_addr(d, 'addr2')))} AS addr_sim FROM pairs"""
+#: what similarities need of a record, once a record rather than once a pair
+cte("ef", "e")(
+    lambda d: f"""SELECT entity_id, {X.token_set(d, X.sql_name(d, 'business_name'))} AS name_set, {X.token_set(d, X.sql_addr(d, 'business_address'))} AS addr_set,
+    {X.ngrams(d, X.norm_name(d, 'business_name'), 3)} AS gram_set, {X.digits(d, 'business_address')} AS digit_set FROM e"""
 )
+cte("sets", "pairs", "ef")(
+    lambda d: """SELECT p.*, a.name_set AS ns1, a.addr_set AS as1, a.gram_set AS gs1, a.digit_set AS ds1, b.name_set AS ns2, b.addr_set AS as2, b.gram_set AS gs2, b.digit_set AS ds2
+    FROM pairs p JOIN ef a ON p.s1_id = a.entity_id JOIN ef b ON p.cand_id = b.entity_id"""
+)
+cte("sim", "sets")(lambda d: f"SELECT *, {X.jaccard(d, 'ns1', 'ns2')} AS name_sim, {X.jaccard(d, 'as1', 'as2')} AS addr_sim FROM sets")
 cte("scored", "sim")(lambda d: "SELECT *, (name_sim + addr_sim) / 2 AS proba FROM sim WHERE in_retrieval")
 TAUS = (0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9)
 cte("tau")(lambda d: " UNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS tau" for t in TAUS))
@@ -143,10 +149,9 @@ QUERIES["patterns"] = (("e",), lambda d: f"SELECT entity_id, {d.like('lower(busi
 QUERIES["labels_of_ids"] = (("e", "gs"), lambda d: f"SELECT e.entity_id, {X.country(d, 'e.country')} AS country_label, CASE WHEN e.entity_id LIKE 'S2-%' THEN 'S2' WHEN e.entity_id LIKE 'S3-%' THEN 'S3' ELSE 'OTHER' END AS candidate_source, {X.match_bucket('coalesce(match_count, 0)').format(text='STRING')} AS bucket FROM e LEFT JOIN gs ON e.entity_id = gs.s1_id")
 
 # Similarities over labelled pairs.
-QUERIES["similarity"] = (("pairs",), lambda d: f"""SELECT s1_id, cand_id, {r6(X.jaccard(d, X.token_set(d, X.sql_name(d, 'name1')), X.token_set(d, X.sql_name(d, 'name2'))), 'token_jaccard')},
-  {r6(X.jaccard(d, X.token_set(d, X.sql_name(d, 'name1')), X.token_set(d, X.sql_name(d, 'name2')), '0.0'), 'token_jaccard_zero')}, {r6(X.jaccard(d, X.ngrams(d, X.norm_name(d, 'name1'), 3), X.ngrams(d, X.norm_name(d, 'name2'), 3)), 'gram_jaccard')},
+QUERIES["similarity"] = (("sets",), lambda d: f"""SELECT s1_id, cand_id, {r6(X.jaccard(d, 'ns1', 'ns2'), 'token_jaccard')}, {r6(X.jaccard(d, 'ns1', 'ns2', '0.0'), 'token_jaccard_zero')}, {r6(X.jaccard(d, 'gs1', 'gs2'), 'gram_jaccard')},
   {r6(X.levenshtein(d, 'lower(name1)', 'lower(name2)'), 'levenshtein')}, {big('abs(length(name1) - length(name2))', 'len_diff')}, {r6(X.length_ratio(d, 'name1', 'name2'), 'len_ratio')},
-  {d.size(d.both(X.digits(d, 'addr1'), X.digits(d, 'addr2')))} AS digit_overlap, {r6(X.jaccard(d, X.digits(d, 'addr1'), X.digits(d, 'addr2')), 'digit_jaccard')} FROM pairs WHERE {ascii_(d, 'name1', 'name2', 'addr1', 'addr2')}""")
+  {d.size(d.both('ds1', 'ds2'))} AS digit_overlap, {r6(X.jaccard(d, 'ds1', 'ds2'), 'digit_jaccard')} FROM sets WHERE {ascii_(d, 'name1', 'name2', 'addr1', 'addr2')}""")
 QUERIES["char_ngrams"] = (("s1",), lambda d: f"SELECT entity_id, gram FROM (SELECT entity_id, {X.ngrams(d, X.basic(d, 'business_name'), 3)} AS gs_ FROM s1 WHERE {ascii_(d, 'business_name')}) t {d.unnest('gs_', 'gram')}")
 QUERIES["percentiles"] = (("per",), lambda d: f"SELECT {', '.join(r6(d.quantile('n', q), f'p{int(q * 100)}') for q in (0.25, 0.5, 0.9, 0.95, 0.99))} FROM per")
 QUERIES["order_quartiles"] = (("per",), lambda d: f"SELECT {big('max(CASE WHEN r = n_all // 4 THEN n END)' if isinstance(d, X.Duck) else 'max(CASE WHEN r = n_all DIV 4 THEN n END)', 'q1')}, {big('max(CASE WHEN r = n_all // 2 THEN n END)' if isinstance(d, X.Duck) else 'max(CASE WHEN r = n_all DIV 2 THEN n END)', 'q2')}, {big('max(CASE WHEN r = 3 * n_all // 4 THEN n END)' if isinstance(d, X.Duck) else 'max(CASE WHEN r = (3 * n_all) DIV 4 THEN n END)', 'q3')} FROM (SELECT n, row_number() OVER (ORDER BY n) - 1 AS r, count(*) OVER () AS n_all FROM per) t")
