@@ -11,14 +11,14 @@ Every end position is visited a bounded number of times, so the work is linear.
 Decoding gathers bytes by an offset table over one blob of all token bytes.
 
 Defined results: null and empty texts have no tokens and decode to the empty
-text. Special tokens' strings in a text are those tokens, as in the library. Code points that only the newest
-Unicode version knows may be classed otherwise than by the library.
+text. Special tokens' strings in a text are those tokens, as in the library.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,8 +35,17 @@ from weftline.storage import table
 
 #: Fixed value: the published pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Code points, in hexadecimal, that this module's regex library takes for letters or numbers and the
+#: tokenizers library, with an older Unicode version, doesn't.
+LATE = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE "
+    "11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA "
+    "18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE "
+    "1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+_EARLY = bytes(range(0xD5))
 #: Pre-tokens whose encodings a worker keeps; beyond it the cache starts anew.
-CACHE_PRETOKENS = 250_000
+CACHE_PRETOKENS = 400_000
 _ROWS_OUT = 256
 
 
@@ -77,7 +86,7 @@ class Codec:
                 self.order[whole], self.left[whole], self.right[whole] = k, x, y
         self.longest = ahocorasick.Automaton()
         for t, i in vocab.items():
-            self.longest.add_word(t, (len(t), i))
+            self.longest.add_word(t, (len(t) - 1, i))
         self.longest.make_automaton()
         #: the longest proper prefix of each token that is a token, or -1
         self.shorter = [-1] * size
@@ -94,6 +103,8 @@ class Codec:
         self.offset = np.concatenate([[0], np.cumsum(self.length)]).astype(np.int64)
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("|".join(f"({regex.escape(s)})" for s in self.specials)).split if self.specials else None
+        spans = [x.split("-") for x in LATE.split()]
+        self.late = re.compile("[" + "".join(f"{chr(int(x[0], 16))}-{chr(int(x[-1], 16))}" for x in spans) + "]")
         self._reset()
 
     def _reset(self) -> None:
@@ -160,15 +171,12 @@ class Codec:
     def _learn(self, new: list[str]) -> None:
         """Encode pre-tokens that the cache lacks, in one pass of the automaton."""
         coded = [w.encode("utf-8", "surrogatepass") for w in new]
-        text = b"".join(coded).decode("latin-1")
-        best, limit = [0] * len(text), np.cumsum([len(c) for c in coded])
-        #: matches must not leave their pre-token
-        stop = np.repeat(limit, [len(c) for c in coded]).tolist()
-        width = [0] * len(text)
-        for end, (n, i) in self.longest.iter(text):
-            start = end - n + 1
-            if n > width[start] and end < stop[start]:
-                width[start], best[start] = n, i
+        #: no token holds the character between pre-tokens, so no match leaves its own
+        text = "\u0100".join([c.decode("latin-1") for c in coded])
+        best = [0] * (len(text) + 1)
+        #: of the matches that start at a place, the last one found is the longest
+        for end, (more, i) in self.longest.iter(text):
+            best[end - more] = i
         start = 0
         for w, c in zip(new, coded, strict=True):
             end = start + len(c)
@@ -177,12 +185,20 @@ class Codec:
             self.text.append(",".join(map(str, ids)))
             self.flat.extend(ids)
             self.n.append(len(ids))
-            start = end
+            start = end + 1
+
+    def _parts(self, text: str) -> list[str]:
+        #: UTF-8 of the first such code point begins with D5, so most texts are known by their bytes
+        if text.isascii() or not text.encode("utf-8", "surrogatepass").translate(None, _EARLY) or not self.late.search(text):
+            return self.split(text)
+        #: split with a private character in place of each, then cut the text alike
+        ends = np.cumsum([len(w) for w in self.split(self.late.sub("\ue000", text))]).tolist()
+        return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def pretokens(self, text: str) -> list[str]:
         if self.cut and any(s in text for s in self.specials):
-            return [w for k, part in enumerate(self.cut(text)) if part for w in ([part] if part in self.specials else self.split(part))]
-        return self.split(text)
+            return [w for part in self.cut(text) if part for w in ([part] if part in self.specials else self._parts(part))]
+        return self._parts(text)
 
     def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """(ids, decimal ids joined by commas) of each text."""
@@ -190,7 +206,7 @@ class Codec:
             self._reset()
         words = [self.pretokens(t) for t in texts]
         known = self.known
-        new = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in known]
+        new = set().union(*words).difference(known)
         for w in [w for w in new if w in self.specials]:
             known[w] = len(self.text)
             self.text.append(str(self.specials[w]))
