@@ -71,6 +71,71 @@ def test_text_forms(spark):
     assert value(spark, X.country(X.SPARK, "' india'")) == "IN" and value(spark, X.country(X.SPARK, "''")) == "UNKNOWN"
 
 
+def labels_of(spark, field, a, b):
+    """The labels of two names or addresses."""
+    lit = lambda x: "CAST(NULL AS STRING)" if x is None else "'" + x + "'"
+    d, parts = X.SPARK, []
+    for k, x in (("1", lit(a)), ("2", lit(b))):
+        n, t = X.norm_name(d, x), X.norm_addr(d, x)
+        parts.append(f"{x} AS {field}{k}, {X.basic(d, x)} AS b{field[0]}{k}, {n if field == 'name' else t} AS n{field[0]}{k}, {X.token_set(d, n)} AS nt{k}, {X.token_set(d, t)} AS aset{k}, {X.digits(d, x)} AS dg{k}, {X.postal(d, x)} AS po{k}")
+    rule = X.name_transforms(d) if field == "name" else X.address_transforms(d)
+    return spark.sql(f"SELECT {rule} AS x FROM (SELECT {', '.join(parts)})").first().x
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "want"),
+    [
+        ("Acme", "Acme", ["exact"]),
+        (None, "", ["exact"]),
+        ("Acme", " ACME", ["case_only", "normalized_exact"]),
+        ("Acme-Web", "acme web", ["punctuation_only"]),
+        ("Fox & Hen", "Fox and Hen", ["punctuation_only", "ampersand_and"]),
+        ("Acme Ltd.", "Ltd Acme", ["suffix_limited", "word_order"]),
+        ("Blue Fox", "Blue Fox Shop", ["missing_or_extra_words"]),
+        ("Blue Foxes", "Blue Foxed", ["minor_token_diff", "typo_or_substitution"]),
+        ("Corp Corporation", "x", ["suffix_corporation", "suffix_corporation"]),
+        ("Alpha", "Omega Nine Zed", ["other_variation"]),
+    ],
+)
+def test_name_labels(spark, a, b, want):
+    assert labels_of(spark, "name", a, b) == want
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "want"),
+    [
+        ("1 Elm", "1 Elm", ["exact"]),
+        ("1 ELM", "1 elm", ["case_only", "normalized_exact"]),
+        ("1 Elm Rd.", "1 Elm Road", ["abbrev_road", "abbrev_road"]),
+        ("Elm 12345", "Elm", ["missing_numbers", "missing_postal"]),
+        ("Elm 12345", "Elm 54321", ["numeric_diff", "postal_diff"]),
+        ("Elm, 7", "7 Elm", ["component_reorder"]),
+        ("Elm", "Oak", ["other_variation"]),
+    ],
+)
+def test_address_labels(spark, a, b, want):
+    assert labels_of(spark, "addr", a, b) == want
+
+
+@pytest.mark.parametrize(
+    ("n1", "n2", "a1", "a2", "want"),
+    [
+        ("Caf\u00e9", "Cafe", "1 Elm", "1 Elm", "transliteration/multilingual"),
+        ("Cafe", "Cafe", "1 Elm", None, "missing_address"),
+        ("Cafe", "cafe", "1 Elm", "2 Elm", "address_normalization_failure"),
+        ("Cafe", "Bistro", "1 Elm", "1 elm", "name_normalization_failure"),
+        ("Blue Fox", "Fox Blue", "1 Elm", "2 Elm", "word_order"),
+        ("Blue Pvt", "Red", "1 Elm", "2 Elm", "abbreviation/legal_suffix"),
+        ("Blue Fox", "Blue Hen", "1 Elm", "2 Elm", "minor_token_diff/typo"),
+        ("Blue", "Red", "1 Elm", "2 Elm", "common_name/short_name"),
+        ("Northern Lights Bakery", "Harbour View Kitchen", "1 Elm", "2 Elm", "semantic_dba_or_other"),
+    ],
+)
+def test_failure_categories(spark, n1, n2, a1, a2, want):
+    df = spark.createDataFrame([(n1, n2, a1, a2)], "name1 string, name2 string, addr1 string, addr2 string")
+    assert df.selectExpr(f"{X.failure_category(X.SPARK)} AS x").first().x == want
+
+
 def test_structured_address_keys(spark):
     keys = value(spark, X.submission_keys(X.SPARK, "'Acme Widgets'", "'H.No.16-11-23/37/A'", "'in'"))
     assert "IN|hn:16-11-23/37/a" in keys and "IN|dg:37" in keys and sum("hn:" in k or "dg:" in k for k in keys) == 5

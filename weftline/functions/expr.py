@@ -289,6 +289,86 @@ def match_bucket(n: str) -> str:
     return f"(CASE WHEN {n} >= 4 THEN '4+' ELSE CAST({n} AS {{text}}) END)"
 
 
+# Labels of a pair: lists of strings, over forms of both sides that are computed once a record.
+
+
+def _same_set(d: Spark, a: str, b: str) -> str:
+    return f"({d.size(d.both(a, b))} = {d.size(a)} AND {d.size(a)} = {d.size(b)})"
+
+
+def _either(d: Spark, x: str, pattern: str) -> str:
+    return f"({d.like(f"lower(coalesce({x}1, ''))", pattern)} OR {d.like(f"lower(coalesce({x}2, ''))", pattern)})"
+
+
+def _labels(d: Spark, field: str, *found: str) -> str:
+    """All labels that apply, of equal texts only ``exact``, else at least one."""
+    every = d.cat(*found)
+    return f"(CASE WHEN coalesce({field}1, '') = coalesce({field}2, '') THEN {d.arr("'exact'")} WHEN {d.size(every)} = 0 THEN {d.arr("'other_variation'")} ELSE {every} END)"
+
+
+def name_transforms(d: Spark) -> str:
+    """How the names of a pair differ: name, bn (basic), nn (normal), nt (its tokens)."""
+    same, close = _same_set(d, "nt1", "nt2"), levenshtein(d, "nn1", "nn2")
+    shared = d.size(d.both("nt1", "nt2"))
+    near = f"(NOT {same} AND {shared} > 0 AND {d.size('nt1')} + {d.size('nt2')} - 2 * {shared} <= 2)"
+    swap = lambda x: f"replace({x}, ' and ', ' & ')"
+    spelled = f"({swap('bn1')} = bn2 OR {swap('bn2')} = bn1 OR replace(bn1, '&', 'and') = replace(bn2, '&', 'and'))"
+    return _labels(
+        d,
+        "name",
+        _when(d, "bn1 = bn2", "'case_only'"),
+        _when(d, "nn1 = nn2 AND bn1 <> bn2", "'punctuation_only'"),
+        _when(d, "nn1 = nn2 AND bn1 = bn2", "'normalized_exact'"),
+        _when(d, f"{d.like("concat(bn1, '|', bn2)", '&| and ')} AND {spelled}", "'ampersand_and'"),
+        *[_when(d, _either(d, "name", p), f"'suffix_{form}'") for p, form in LEGAL_FORMS.items()],
+        _when(d, f"{same} AND nn1 <> nn2", "'word_order'"),
+        _when(d, f"{near} AND {d.size('nt1')} <> {d.size('nt2')}", "'missing_or_extra_words'"),
+        _when(d, f"{near} AND {d.size('nt1')} = {d.size('nt2')}", "'minor_token_diff'"),
+        _when(d, f"length(nn1) > 3 AND length(nn2) > 3 AND {close} >= 0.7 AND {close} < 1", "'typo_or_substitution'"),
+    )
+
+
+def address_transforms(d: Spark) -> str:
+    """How the addresses of a pair differ: addr, ba (basic), na (normal), aset (its tokens),
+    dg (digit runs), po (postal codes)."""
+
+    def sets(a: str, missing: str, differ: str) -> list[str]:
+        one_empty = f"({d.size(a + '1')} = 0 OR {d.size(a + '2')} = 0)"
+        other = f"NOT {_same_set(d, a + '1', a + '2')}"
+        return [_when(d, f"{other} AND {one_empty}", f"'{missing}'"), _when(d, f"{other} AND NOT {one_empty}", f"'{differ}'")]
+
+    return _labels(
+        d,
+        "addr",
+        _when(d, "ba1 = ba2", "'case_only'"),
+        _when(d, "na1 = na2", "'normalized_exact'"),
+        *[_when(d, _either(d, "addr", rf"\b{w}\b"), f"'abbrev_{form}'") for form, words in ADDRESS_FORMS.items() for w in words],
+        *sets("dg", "missing_numbers", "numeric_diff"),
+        *sets("po", "missing_postal", "postal_diff"),
+        _when(d, f"{_same_set(d, 'aset1', 'aset2')} AND na1 <> na2", "'component_reorder'"),
+    )
+
+
+def failure_category(d: Spark) -> str:
+    """Why a pair may have been missed; the first rule that holds."""
+    blank = lambda x: f"trim(coalesce({x}, '')) = ''"
+    n1, n2, a1, a2 = (f"trim({d.rep(f"lower(coalesce({x}, ''))", WORDS, ' ')})" for x in ("name1", "name2", "addr1", "addr2"))
+    t1, t2 = tokens(d, squeeze(d, n1)), tokens(d, squeeze(d, n2))
+    s1, s2 = d.set(t1), d.set(t2)
+    legal = "ltd|limited|pvt|private|corp"
+    rules = [
+        (d.like("concat(coalesce(name1, ''), coalesce(name2, ''))", r"[^\x00-\x7F]"), "transliteration/multilingual"),
+        (f"{blank('addr1')} OR {blank('addr2')}", "missing_address"),
+        (f"{n1} = {n2} AND {a1} <> {a2}", "address_normalization_failure"),
+        (f"{a1} = {a2} AND {n1} <> {n2}", "name_normalization_failure"),
+        (f"{_same_set(d, s1, s2)} AND {n1} <> {n2}", "word_order"),
+        (f"{d.like(n1, legal)} OR {d.like(n2, legal)}", "abbreviation/legal_suffix"),
+        (f"{d.size(d.both(s1, s2))} >= greatest(1, least({d.size(t1)}, {d.size(t2)}) - 1)", "minor_token_diff/typo"),
+        (f"length({n1}) < 10 OR length({n2}) < 10", "common_name/short_name"),
+    ]
+    return f"(CASE {' '.join(f"WHEN {c} THEN '{k}'" for c, k in rules)} ELSE 'semantic_dba_or_other' END)"
+
+
 # Blocking keys: lists of strings.
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.functions import expr as X
@@ -44,11 +45,15 @@ def keys_transliteration(spark, sf_dir):
 
 
 def channel_transliteration(spark, sf_dir):
+    """Records with an equal whole key, and of those that share two grams the best 3000 a target."""
     keys = _translit_keys(_cte(spark, sf_dir, "e"))
     q = keys.where("src = 'S1'").select(F.col("entity_id").alias("s1_id"), "key")
-    c = keys.where("src <> 'S1'").select(F.col("entity_id").alias("cand_id"), "key")
-    hits = q.join(c, "key").groupBy("s1_id", "cand_id").agg(F.count("*").alias("score"), F.count_if(F.col("key").startswith("tl:")).alias("whole"))
-    return hits.where("whole > 0 OR score >= 2").select("s1_id", "cand_id", "score")
+    c = keys.where("src <> 'S1'").select(F.col("entity_id").alias("cand_id"), F.col("src").alias("target"), "key")
+    whole = F.col("key").startswith("tl:")
+    hits = q.join(c, "key").groupBy("s1_id", "target", "cand_id").agg(F.count_if(~whole).alias("grams"), F.count_if(whole).alias("whole"))
+    # those short of two grams come last in the ranking, so they don't move the others
+    best = Window.partitionBy("s1_id", "target").orderBy(F.desc("grams"), "cand_id")
+    return hits.withColumn("r", F.row_number().over(best)).where("whole > 0 OR grams >= 2 AND r <= 3000").select("s1_id", "cand_id", (F.col("grams") + F.col("whole")).alias("score"))
 
 
 def fuzzy_ratios(spark, sf_dir):

@@ -189,11 +189,17 @@ QUERIES["index_stats"] = (("k",), lambda d: f"SELECT src AS target, {big('count(
 QUERIES["retrieval_exact"] = (("cand",), lambda d: "SELECT s1_id, cand_id FROM cand")
 QUERIES["retrieval_scored"] = (("cand",), lambda d: f"SELECT s1_id, cand_id, {big('n_keys', 'score')} FROM cand")
 QUERIES["retrieval_topk"] = (("cand",), lambda d: f"SELECT s1_id, cand_id, {big('n_keys', 'score')} FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY n_keys DESC, cand_id) AS r FROM cand) t WHERE r <= 10 AND n_keys >= 1")
-QUERIES["retrieval_cap"] = (("cand",), lambda d: "SELECT s1_id, target, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, target ORDER BY cand_id) AS r FROM cand) t WHERE r <= 20")
+QUERIES["retrieval_cap"] = (("cand",), lambda d: f"SELECT s1_id, target, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, target ORDER BY cand_id) AS r FROM cand) t WHERE r <= {BASELINE_CAP}")
 QUERIES["retrieval_cp_max_df"] = (("hit", "df"), lambda d: "SELECT DISTINCT s1_id, cand_id FROM hit JOIN df ON hit.key = df.key AND hit.target = df.target WHERE hit.key NOT LIKE 'cp:%' OR df <= 5")
 QUERIES["retrieval_summary"] = (("per",), lambda d: f"SELECT {big('sum(n)', 'total_candidates')}, {big('count(CASE WHEN n = 0 THEN 1 END)', 'zero_candidates')}, {r6('avg(n)', 'avg_candidates')}, {big('max(n)', 'max_candidates')}, {big('count(*)', 's1_rows')} FROM per")
 
 
+#: fixed values: most postings of a key, least keys in common, most candidates of a record and target
+CHANNELS = {"char_ngram": (50_000, 2, 5_000), "address_numeric": (20_000, 1, 3_000)}
+#: fixed values: most candidates of the baseline channel a target; of the submission form, most postings of a key and most candidates
+BASELINE_CAP, SUBMISSION_BUCKET, SUBMISSION_CAP = 10_000, 5_000, 500
+
+
 def _channel(keys, max_df: int, overlap: int, cap: int):
     """Score by shared keys, keys above max_df left out, best cap of those with overlap."""
     return lambda d: f"""SELECT s1_id, cand_id, {big('score', 'score')} FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, target ORDER BY score DESC, cand_id) AS r FROM
@@ -204,9 +210,9 @@ def _channel(keys, max_df: int, overlap: int, cap: int):
 
 cte("ckn", "e")(lambda d: f"SELECT entity_id, src, key FROM (SELECT entity_id, src, {X.gram_keys(d, 'business_name')} AS ks FROM e WHERE {ascii_(d, 'business_name')}) t {d.unnest('ks', 'key')}")
 cte("cka", "p")(lambda d: f"SELECT entity_id, src, key FROM (SELECT entity_id, src, {X.address_keys(d, 'business_address', 'country')} AS ks FROM p) t {d.unnest('ks', 'key')}")
-QUERIES["channel_char_ngram"] = (("ckn",), lambda d: _channel("ckn", 60, 2, 50)(d).replace(" ck ", " ckn "))
-QUERIES["channel_address_numeric"] = (("cka",), lambda d: _channel("cka", 60, 1, 50)(d).replace(" ck ", " cka "))
-QUERIES["retrieve_all_channels"] = (("cand", "ckn"), lambda d: f"SELECT s1_id, cand_id FROM cand UNION SELECT s1_id, cand_id FROM ({_channel('ckn', 60, 2, 50)(d).replace(' ck ', ' ckn ')}) x")
+QUERIES["channel_char_ngram"] = (("ckn",), lambda d: _channel("ckn", *CHANNELS["char_ngram"])(d).replace(" ck ", " ckn "))
+QUERIES["channel_address_numeric"] = (("cka",), lambda d: _channel("cka", *CHANNELS["address_numeric"])(d).replace(" ck ", " cka "))
+QUERIES["retrieve_all_channels"] = (("cand", "ckn"), lambda d: f"SELECT s1_id, cand_id FROM cand UNION SELECT s1_id, cand_id FROM ({_channel('ckn', *CHANNELS['char_ngram'])(d).replace(' ck ', ' ckn ')}) x")
 QUERIES["family_ablation"] = (("hit", "g", "s1"), lambda d: f"""SELECT cond, {big('count(*)', 'candidates')}, {big('count(g.s1_id)', 'true_pairs')} FROM (
   SELECT DISTINCT cond, s1_id, cand_id FROM hit JOIN (SELECT 'bn' AS cond, 'bn' AS fam UNION ALL SELECT 'ba', 'ba' UNION ALL SELECT 'cp', 'cp' UNION ALL SELECT 'bn+ba', 'bn' UNION ALL SELECT 'bn+ba', 'ba'
   UNION ALL SELECT 'bn+cp', 'bn' UNION ALL SELECT 'bn+cp', 'cp' UNION ALL SELECT 'ba+cp', 'ba' UNION ALL SELECT 'ba+cp', 'cp' UNION ALL SELECT 'all', 'bn' UNION ALL SELECT 'all', 'ba' UNION ALL SELECT 'all', 'cp') c
@@ -215,8 +221,8 @@ QUERIES["fanout_profile"] = (("k",), lambda d: f"""SELECT split_part(c.key, ':',
   FROM (SELECT key, count(*) AS df FROM k WHERE src <> 'S1' GROUP BY key) c JOIN (SELECT key, count(*) AS queries FROM k WHERE src = 'S1' GROUP BY key) q ON c.key = q.key GROUP BY 1""")
 QUERIES["keys_present"] = (("k",), lambda d: f"SELECT {big('count(DISTINCT key)', 'present')} FROM k WHERE src = 'S1' AND key IN (SELECT key FROM k WHERE src <> 'S1')")
 cte("sk", "p")(lambda d: f"SELECT entity_id, src, key FROM (SELECT entity_id, src, {X.submission_keys(d, 'business_name', 'business_address', 'country')} AS ks FROM p) t {d.unnest('ks', 'key')}")
-QUERIES["submission_candidates"] = (("sk",), lambda d: """SELECT s1_id, cand_id FROM (SELECT s1_id, cand_id, row_number() OVER (PARTITION BY s1_id ORDER BY cand_id) AS r FROM (SELECT DISTINCT q.entity_id AS s1_id, c.entity_id AS cand_id
-  FROM sk q JOIN sk c ON q.key = c.key JOIN (SELECT key FROM sk WHERE src <> 'S1' GROUP BY key HAVING count(*) <= 100) f ON c.key = f.key WHERE q.src = 'S1' AND c.src <> 'S1') t) u WHERE r <= 500""")
+QUERIES["submission_candidates"] = (("sk",), lambda d: f"""SELECT s1_id, cand_id FROM (SELECT s1_id, cand_id, row_number() OVER (PARTITION BY s1_id ORDER BY cand_id) AS r FROM (SELECT DISTINCT q.entity_id AS s1_id, c.entity_id AS cand_id
+  FROM sk q JOIN sk c ON q.key = c.key JOIN (SELECT key FROM sk WHERE src <> 'S1' GROUP BY key HAVING count(*) <= {SUBMISSION_BUCKET}) f ON c.key = f.key WHERE q.src = 'S1' AND c.src <> 'S1') t) u WHERE r <= {SUBMISSION_CAP}""")
 QUERIES["key_kind_hits"] = (("hit", "g"), lambda d: f"SELECT split_part(hit.key, ':', 1) AS kind, {big('count(DISTINCT concat(g.s1_id, g.matched_id))', 'true_pairs')} FROM hit JOIN g ON hit.s1_id = g.s1_id AND hit.cand_id = g.matched_id GROUP BY 1")
 QUERIES["prefix_length_study"] = (("e", "g"), lambda d: f"""SELECT split_part(q.key, ':', 1) AS length_kind, {big('count(*)', 'candidates')}, {big('count(g.s1_id)', 'true_pairs')} FROM
   (SELECT entity_id, key FROM (SELECT entity_id, {X.cp_keys(d, 'business_name', 'country')} AS ks FROM e WHERE src = 'S1') t {d.unnest('ks', 'key')}) q JOIN
@@ -250,7 +256,17 @@ QUERIES["block_percentiles"] = (("blk",), lambda d: f"SELECT strategy, {big('sum
 QUERIES["strategy_recall"] = (("sk7", "g"), lambda d: f"SELECT a.strategy, {big('count(*)', 'true_pairs_kept')}, {r6('count(*) / CAST((SELECT count(*) FROM g) AS DOUBLE)', 'recall')} FROM g JOIN sk7 a ON g.s1_id = a.entity_id JOIN sk7 b ON g.matched_id = b.entity_id AND a.strategy = b.strategy AND a.key = b.key GROUP BY a.strategy")
 QUERIES["combined_estimate"] = (("blk", "s1", "o"), lambda d: f"SELECT {big('sum(best)', 'lower_bound')}, {r6('1 - sum(best) / CAST((SELECT count(*) FROM s1) * (SELECT count(*) FROM o) AS DOUBLE)', 'reduction_ratio')} FROM (SELECT s1_id, max(n) AS best FROM blk WHERE strategy IN ('exact_name', 'exact_address', 'country_prefix5') GROUP BY s1_id) t")
 QUERIES["recall_curve"] = (("blk", "g"), lambda d: "SELECT " + ", ".join(big(f"count(CASE WHEN best <= {k} THEN 1 END)", f"at_{k}") for k in (1, 5, 10, 50, 100, 1000, 10000)) + " FROM (SELECT g.s1_id, g.matched_id, coalesce(min(CASE WHEN n > 0 THEN n END), 999999) AS best FROM g LEFT JOIN blk ON g.s1_id = blk.s1_id GROUP BY g.s1_id, g.matched_id) t")
-QUERIES["match_signals"] = (("sk7", "g"), lambda d: f"SELECT a.strategy, left(b.entity_id, 2) AS target, {big('count(*)', 'pairs')}, {big('count(g.s1_id)', 'true_pairs')}, {big('count(*) - count(g.s1_id)', 'false_pairs')}, {r6('count(g.s1_id) / CAST(count(*) AS DOUBLE)', 'p_match')} FROM sk7 a JOIN sk7 b ON a.strategy = b.strategy AND a.key = b.key LEFT JOIN g ON a.entity_id = g.s1_id AND b.entity_id = g.matched_id WHERE a.src = 'S1' AND b.src <> 'S1' AND a.strategy IN ('exact_name', 'exact_address', 'country_name') GROUP BY 1, 2")
+SIGNALS = {
+    "norm_name": lambda d: f"lower(trim({d.rep('business_name', r'[^\w\s]', ' ')}))", "norm_address": lambda d: f"lower(trim({d.rep('business_address', r'[^\w\s]', ' ')}))",
+    "country_name": lambda d: "CASE WHEN trim(business_name) <> '' THEN concat(country, '|', lower(trim(business_name))) END", "country": lambda d: "country",
+    "raw_name": lambda d: "CASE WHEN trim(business_name) <> '' THEN business_name END", "raw_address": lambda d: "CASE WHEN trim(business_address) <> '' THEN business_address END",
+}
+cte("sig", "e")(lambda d: "SELECT entity_id, src, signal, key FROM (" + " UNION ALL ".join(f"SELECT entity_id, src, '{n}' AS signal, {f(d)} AS key FROM e" for n, f in SIGNALS.items()) + ") t WHERE key <> ''")
+#: pairs with a signal are products of counts; only the true ones are looked up
+QUERIES["match_signals"] = (("sig", "g"), lambda d: f"""SELECT a.signal, a.target, {big('a.pairs', 'pairs')}, {big('coalesce(t.n, 0)', 'true_pairs')}, {big('a.pairs - coalesce(t.n, 0)', 'false_pairs')}, {r6('coalesce(t.n, 0) / CAST(a.pairs AS DOUBLE)', 'p_match')} FROM
+  (SELECT q.signal, c.src AS target, sum(q.n * c.n) AS pairs FROM (SELECT signal, key, count(*) AS n FROM sig WHERE src = 'S1' GROUP BY signal, key) q JOIN (SELECT signal, src, key, count(*) AS n FROM sig WHERE src <> 'S1' GROUP BY signal, src, key) c
+   ON q.signal = c.signal AND q.key = c.key GROUP BY q.signal, c.src) a LEFT JOIN
+  (SELECT x.signal, y.src AS target, count(*) AS n FROM g JOIN sig x ON g.s1_id = x.entity_id JOIN sig y ON g.matched_id = y.entity_id AND x.signal = y.signal AND x.key = y.key GROUP BY x.signal, y.src) t ON a.signal = t.signal AND a.target = t.target""")
 QUERIES["pair_recall"] = (("g", "cand"), lambda d: f"SELECT match_source, {big('count(*)', 'pairs')}, {big('count(c.s1_id)', 'found')}, {r6('count(c.s1_id) / CAST(count(*) AS DOUBLE)', 'recall')} FROM g LEFT JOIN cand c ON g.s1_id = c.s1_id AND g.matched_id = c.cand_id GROUP BY match_source")
 QUERIES["entity_recall"] = (("g", "cand"), lambda d: f"SELECT {big('count(*)', 'entities')}, {big('sum(full_)', 'covered')}, {r6('avg(full_)', 'entity_recall')} FROM (SELECT g.s1_id, min(CASE WHEN c.s1_id IS NULL THEN 0 ELSE 1 END) AS full_ FROM g LEFT JOIN cand c ON g.s1_id = c.s1_id AND g.matched_id = c.cand_id GROUP BY g.s1_id) t")
 QUERIES["recall_by_bucket"] = (("g", "cand", "gs"), lambda d: f"SELECT {X.match_bucket('gs.match_count').format(text='STRING')} AS bucket, gs.country, {big('count(*)', 'pairs')}, {big('count(c.s1_id)', 'found')} FROM g JOIN gs ON g.s1_id = gs.s1_id LEFT JOIN cand c ON g.s1_id = c.s1_id AND g.matched_id = c.cand_id GROUP BY 1, 2")
@@ -263,11 +279,28 @@ QUERIES["labeled_pairs"] = (("pairs",), lambda d: f"SELECT s1_id, cand_id, candi
 QUERIES["s1_split"] = (("s1",), lambda d: f"SELECT entity_id, CASE WHEN {d.bucket("concat('7:', entity_id)")} % 10000 < 2000 THEN 'val' ELSE 'train' END AS part FROM s1")
 QUERIES["class_balance"] = (("pairs",), lambda d: f"SELECT {big('sum(label)', 'n_pos')}, {big('count(*) - sum(label)', 'n_neg')}, {r6('(count(*) - sum(label)) / CAST(greatest(sum(label), 1) AS DOUBLE)', 'scale_pos_weight')} FROM pairs WHERE label = 0 OR in_retrieval")
 QUERIES["feature_summary"] = (("sim",), lambda d: f"SELECT {big('label', 'label')}, {r6('avg(name_sim)', 'name_mean')}, {r6('median(name_sim)', 'name_median')}, {r6(d.quantile('addr_sim', 0.25), 'addr_p25')}, {r6(d.quantile('addr_sim', 0.75), 'addr_p75')}, {r6('100 * avg(CAST(CASE WHEN name1 = name2 THEN 1 ELSE 0 END AS DOUBLE))', 'pct_same_name')} FROM sim GROUP BY label")
-TRANSFORMS = lambda d: f"""CASE WHEN name1 = name2 THEN 'exact' WHEN lower(name1) = lower(name2) THEN 'case_only' WHEN {X.sql_addr(d, 'name1')} = {X.sql_addr(d, 'name2')} THEN 'punctuation_only'
-  WHEN {X.norm_name(d, 'name1')} = {X.norm_name(d, 'name2')} THEN 'ampersand_and' WHEN {X.jaccard(d, X.token_set(d, X.norm_name(d, 'name1')), X.token_set(d, X.norm_name(d, 'name2')))} = 1 THEN 'word_order'
-  WHEN {X.levenshtein(d, X.norm_name(d, 'name1'), X.norm_name(d, 'name2'))} >= 0.7 THEN 'typo_or_substitution' WHEN {d.size(d.both(X.token_set(d, X.norm_name(d, 'name1')), X.token_set(d, X.norm_name(d, 'name2'))))} > 0 THEN 'missing_or_extra_words' ELSE 'other_variation' END"""
-QUERIES["transform_labels"] = (("pairs",), lambda d: f"SELECT label_, {big('count(*)', 'n')} FROM (SELECT {TRANSFORMS(d)} AS label_ FROM pairs WHERE {ascii_(d, 'name1', 'name2')}) t GROUP BY label_")
-QUERIES["failure_categories"] = (("g", "cand", "e"), lambda d: f"SELECT category, {big('count(*)', 'n')} FROM (SELECT CASE WHEN trim(coalesce(a.business_name, '')) = '' THEN 'blank_name' WHEN {d.like('a.business_name', r'[^\x00-\x7F]')} THEN 'non_ascii' WHEN length(a.business_name) < 5 THEN 'short_name' WHEN a.country <> b.country THEN 'country_differs' WHEN lower(a.business_name) <> lower(b.business_name) THEN 'name_differs' ELSE 'other' END AS category FROM g LEFT JOIN cand c ON g.s1_id = c.s1_id AND g.matched_id = c.cand_id JOIN e a ON g.s1_id = a.entity_id JOIN e b ON g.matched_id = b.entity_id WHERE c.s1_id IS NULL) t GROUP BY category")
+#: normal forms and sets of a record, for labels and the thirteen features
+cte("nf", "e")(
+    lambda d: f"""SELECT entity_id, business_name AS name, business_address AS addr, country, {X.basic(d, 'business_name')} AS bn, {X.basic(d, 'business_address')} AS ba, {X.norm_name(d, 'business_name')} AS nn,
+    {X.norm_addr(d, 'business_address')} AS na, {X.token_set(d, X.norm_name(d, 'business_name'))} AS nt, {X.token_set(d, X.norm_addr(d, 'business_address'))} AS aset, {X.token_set(d, X.basic(d, 'business_name'))} AS bnt,
+    {X.token_set(d, X.basic(d, 'business_address'))} AS bat, {X.ngrams(d, X.basic(d, 'business_name'), 3)} AS ng, {X.ngrams(d, X.basic(d, 'business_address'), 3)} AS ag, {X.digits(d, 'business_address')} AS dg, {X.postal(d, 'business_address')} AS po
+    FROM e WHERE {ascii_(d, 'business_name', 'business_address')}"""
+)
+_BOTH = "name addr country bn ba nn na nt aset bnt bat ng ag dg po".split()
+cte("nfp", "pairs", "nf")(lambda d: f"SELECT p.s1_id, p.cand_id, p.label, p.in_retrieval, {', '.join(f'{x}.{c} AS {c}{k}' for k, x in ((1, 'a'), (2, 'b')) for c in _BOTH)} FROM pairs p JOIN nf a ON p.s1_id = a.entity_id JOIN nf b ON p.cand_id = b.entity_id")
+cte("labelled", "nfp")(
+    lambda d: f"""SELECT s1_id, cand_id, label, 'name' AS field, {X.name_transforms(d)} AS patterns FROM nfp
+    UNION ALL SELECT s1_id, cand_id, label, 'address' AS field, {X.address_transforms(d)} AS patterns FROM nfp"""
+)
+cte("pattern", "labelled")(lambda d: f"SELECT s1_id, cand_id, label, field, pattern FROM labelled {d.unnest('patterns', 'pattern')}")
+QUERIES["transform_labels"] = (("pattern",), lambda d: f"SELECT field, pattern, {big('label', 'label')}, {big('count(*)', 'n')} FROM pattern GROUP BY field, pattern, label")
+QUERIES["transform_examples"] = (("pattern",), lambda d: "SELECT field, pattern, s1_id, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY field, pattern ORDER BY s1_id, cand_id) AS r FROM (SELECT DISTINCT field, pattern, s1_id, cand_id FROM pattern) u) t WHERE r <= 15")
+QUERIES["pair_features_13"] = (("nfp",), lambda d: f"""SELECT s1_id, cand_id, {big('label', 'label')}, name1 = name2 AS exact_name, addr1 = addr2 AS exact_address, country1 = country2 AS exact_country, nn1 = nn2 AS norm_name_eq, na1 = na2 AS norm_addr_eq,
+  {r6(X.levenshtein(d, 'nn1', 'nn2'), 'name_sim')}, {r6(X.levenshtein(d, 'na1', 'na2'), 'addr_sim')}, {r6(X.jaccard(d, 'bnt1', 'bnt2'), 'name_token_jaccard')}, {r6(X.jaccard(d, 'bat1', 'bat2'), 'addr_token_jaccard')},
+  {r6(X.jaccard(d, 'ng1', 'ng2'), 'name_trigram_jaccard')}, {r6(X.jaccard(d, 'ag1', 'ag2'), 'addr_trigram_jaccard')}, {r6(X.jaccard(d, 'dg1', 'dg2'), 'digit_jaccard')}, {d.size(d.both('po1', 'po2'))} > 0 AS postal_overlap FROM nfp""")
+#: true pairs that no key finds, and all labelled pairs by the same rules
+QUERIES["failure_categories"] = (("pairs",), lambda d: f"SELECT category, {big('count(*)', 'n')} FROM (SELECT {X.failure_category(d)} AS category FROM pairs WHERE label = 1 AND NOT in_retrieval) t GROUP BY category")
+QUERIES["pair_categories"] = (("pairs",), lambda d: f"SELECT category, {big('label', 'label')}, {big('count(*)', 'n')} FROM (SELECT label, {X.failure_category(d)} AS category FROM pairs) t GROUP BY category, label")
 QUERIES["hard_negatives"] = (("s1", "o", "g"), lambda d: f"SELECT kind, {big('count(*)', 'n')} FROM (SELECT kind, h.s1_id, h.cand_id FROM (SELECT 'same_name_other_address' AS kind, s1.entity_id AS s1_id, o.entity_id AS cand_id FROM s1 JOIN o ON s1.country = o.country AND lower(s1.business_name) = lower(o.business_name) WHERE s1.business_address <> o.business_address UNION ALL SELECT 'same_address_other_name', s1.entity_id, o.entity_id FROM s1 JOIN o ON s1.business_address = o.business_address WHERE s1.business_name <> o.business_name AND s1.business_address <> '') h LEFT JOIN g ON h.s1_id = g.s1_id AND h.cand_id = g.matched_id WHERE g.s1_id IS NULL) t GROUP BY kind")
 QUERIES["hard_cases"] = (("sim",), lambda d: f"SELECT s1_id, cand_id, {r6('1 - (name_sim + addr_sim) / 2', 'difficulty')} FROM sim WHERE label = 0 ORDER BY round((name_sim + addr_sim) / 2, 9) DESC, s1_id, cand_id LIMIT 50")
 QUERIES["seeded_sample"] = (("pairs",), lambda d: "SELECT s1_id, cand_id FROM pairs ORDER BY md5(concat('42', s1_id, cand_id)), s1_id, cand_id LIMIT 100")
