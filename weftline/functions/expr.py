@@ -392,7 +392,11 @@ def cp_keys(d: Spark, name: str, ctry: str) -> str:
 
 
 def gram_keys(d: Spark, name: str) -> str:
-    n = norm_name(d, name)
+    return gram_keys_of(d, norm_name(d, name))
+
+
+def gram_keys_of(d: Spark, n: str) -> str:
+    """Of a normal form; give a column, since the form is named once for each gram."""
     return d.each(d.keep(ngrams(d, n, 3), "t", "length(t) = 3"), "t", "concat('ng:', t)")
 
 

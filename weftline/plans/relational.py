@@ -208,7 +208,8 @@ def _channel(keys, max_df: int, overlap: int, cap: int):
      WHERE q.src = 'S1' AND c.src <> 'S1' GROUP BY q.entity_id, c.entity_id, c.src) t WHERE score >= {overlap}) u WHERE r <= {cap}"""
 
 
-cte("ckn", "e")(lambda d: f"SELECT entity_id, src, key FROM (SELECT entity_id, src, {X.gram_keys(d, 'business_name')} AS ks FROM e WHERE {ascii_(d, 'business_name')}) t {d.unnest('ks', 'key')}")
+#: the name is normalised once a record, not once a gram
+cte("ckn", "e")(lambda d: f"SELECT entity_id, src, key FROM (SELECT entity_id, src, {X.gram_keys_of(d, 'n')} AS ks FROM (SELECT entity_id, src, {X.norm_name(d, 'business_name')} AS n FROM e WHERE {ascii_(d, 'business_name')}) t0) t {d.unnest('ks', 'key')}")
 cte("cka", "p")(lambda d: f"SELECT entity_id, src, key FROM (SELECT entity_id, src, {X.address_keys(d, 'business_address', 'country')} AS ks FROM p) t {d.unnest('ks', 'key')}")
 QUERIES["channel_char_ngram"] = (("ckn",), lambda d: _channel("ckn", *CHANNELS["char_ngram"])(d).replace(" ck ", " ckn "))
 QUERIES["channel_address_numeric"] = (("cka",), lambda d: _channel("cka", *CHANNELS["address_numeric"])(d).replace(" ck ", " cka "))
