@@ -21,7 +21,6 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -31,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm._vocab import tokenizer_path
+from weftline.llm._worker import kept
 from weftline.storage import table
 
 #: Fixed value: the published pre-token pattern of byte-level BPE.
@@ -46,6 +46,8 @@ LATE = (
 _EARLY = bytes(range(0xD5))
 #: Pre-tokens whose encodings a worker keeps; beyond it the cache starts anew.
 CACHE_PRETOKENS = 400_000
+#: Compatibilities of token pairs that a worker keeps, likewise.
+CACHE_PAIRS = 1_000_000
 _ROWS_OUT = 256
 
 
@@ -134,7 +136,7 @@ class Codec:
             else:
                 #: of equal merges the left one comes first, so a tie across the border wins here
                 limit, y = j + 1, left[y]
-        if len(self.pairs) >= 4_000_000:
+        if len(self.pairs) >= CACHE_PAIRS:
             self.pairs.clear()
         self.pairs[key] = ok
         return ok
@@ -240,9 +242,8 @@ class Codec:
         return raw.decode("utf-8", "replace").encode()
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return kept(f"bpe:{path}", lambda: Codec(path))
 
 
 def _encoder(path: str, keep_ids: bool):
@@ -270,10 +271,10 @@ def _encoder(path: str, keep_ids: bool):
 def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None, keep_ids: bool = True) -> DataFrame:
     """Columns ``keep``, n_tokens, ids_sha256, decoded_sha256 and, with keep_ids, ids."""
     path = vocabulary or tokenizer_path("byte_bpe_50k.json")
-    kept = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
+    rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
     schema += "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return kept.mapInArrow(_encoder(path, keep_ids), schema)
+    return rows.mapInArrow(_encoder(path, keep_ids), schema)
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import _shingles as S
+from weftline.llm._worker import release
 from weftline.storage import arrow_rows, stored, table
 
 HALVES = 12
@@ -55,6 +56,7 @@ _ROWS_OUT = 512
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     multipliers = S.constants(2 * HALVES * ROWS, 1000)
     for batch in batches:
         for lo in range(0, batch.num_rows, _ROWS_OUT):
@@ -78,6 +80,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for lo in range(0, batch.num_rows, _ROWS_OUT):
             part = batch.slice(lo, _ROWS_OUT)
@@ -86,6 +89,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for lo in range(0, batch.num_rows, 64):
             part = batch.slice(lo, 64)
@@ -99,6 +103,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         yes = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm._worker import release
 from weftline.llm.langid import holdout
 from weftline.storage import stored, table
 
@@ -72,6 +73,7 @@ def statistics(text: str | None) -> list[float]:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for lo in range(0, batch.num_rows, _ROWS_OUT):
             part = batch.slice(lo, _ROWS_OUT)
@@ -155,6 +157,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(stored(held.mapInArrow(_statistics, "doc_id long, held_out boolean, stats array<double>"), "statistics"), labels)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for lo in range(0, batch.num_rows, _ROWS_OUT):
                 part = batch.slice(lo, _ROWS_OUT)
