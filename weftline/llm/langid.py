@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm._vocab import tokenizer_path
+from weftline.llm._worker import kept
 from weftline.llm.bpe import byte_alphabet
 from weftline.storage import table
 
@@ -241,15 +242,9 @@ class Scorer:
         return names, scores
 
 
-_scorers: dict = {}
-
-
 def _predict(shared, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(shared.value)
-        score = _scorers[key]
+        score = kept(f"langid:{key}", lambda: Scorer(shared.value))
         for batch in batches:
             for lo in range(0, batch.num_rows, _ROWS_OUT):
                 part = batch.slice(lo, _ROWS_OUT)
