@@ -310,6 +310,21 @@ def test_secrets(spark):
     assert all("random" not in got[20 + k].spans for k in range(len(ordinary)))
 
 
+@pytest.mark.parametrize("alphabet", ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz"])
+def test_secrets_of_small_alphabets(spark, alphabet):
+    rng = random.Random(8)
+    texts = ["see " + "".join(rng.choice(alphabet) for _ in range(n)) + " there" for n in (20, 24, 32, 40, 64) for _ in range(20)]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = [got[k] == f"random:4:{len(t) - 6}" for k, t in enumerate(texts)]
+    assert sum(found) >= 94
+
+
+def test_long_ordinary_names_are_no_secrets(spark):
+    names = "Rechtsschutzversicherungsgesellschaften anticonstitutionnellement_et_apres electroencefalografista_general IMG_20240315_103059_EDITED INTERNATIONAL_STANDARD_BOOK_NUMBER com/example/project/v2/api/users/12345/settings AbstractSingletonProxyFactoryBean2 article-2024-03-15-release-notes-v3".split()
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")).collect()
+    assert [names[r.doc_id] for r in rows if r.spans] == []
+
+
 def test_redaction(spark, edges, empty):
     rows = {r.doc_id: r for r in secrets.redact(edges).collect()}
     assert rows[1].text is None and rows[7].text == f"é😀ß <|endoftext|> {secrets.MASK} {secrets.MASK}"

@@ -4,15 +4,16 @@ Only SQL functions. Base kinds are found by pattern (leftmost, not overlapping
 within a kind; matches that fail their length test are dropped). Any other
 token of MIN_TOKEN or more characters of ``A-Za-z0-9+/_-`` is a candidate:
 
-- its encoding is the smallest alphabet that holds it (hex, base32, base36,
-  base64); plain numbers are no candidates;
+- its encoding is the smallest alphabet that holds it (hex, letters of one case,
+  base32, base36, base62, base64); plain numbers are no candidates;
 - under randomness: a chi-squared test of uniformity over the alphabet, a runs
   test (upper against lower half of the alphabet) and a lag-1 serial
   correlation test, Bonferroni-combined, must not reject at RANDOM_LEVEL;
-- under ordinary text: changes of character class and coincidences of letters
-  give a p-value, which falls with the token's length; a Benjamini-Hochberg step
-  over the document's candidates, weighted by length, controls false discoveries
-  at FALSE_RATE.
+- under ordinary text: letter pairs and changes of character class give the
+  token's chance in ordinary text, and that over its chance in random text of its
+  encoding bounds the p-value (Markov), which falls with the token's length; a
+  Benjamini-Hochberg step over the document's candidates, weighted by length,
+  controls false discoveries at FALSE_RATE.
 
 What passes is a span of kind ``random`` unless it overlaps a base span.
 
@@ -38,17 +39,32 @@ MIN_TOKEN = 20
 TOKEN = rf"[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}"
 RANDOM_LEVEL = 0.01
 FALSE_RATE = 0.001
-#: Chance of a change of character class after a character of ordinary text, and of two letters being equal.
-CLASS_CHANGE, COINCIDENCE, TRIPLE = 0.15, 0.066, 0.0055
+#: Chances of the next character's class in ordinary text, after a lower-case letter, a capital, a digit and a sign.
+CLASS_NEXT = ((0.85, 0.05, 0.03, 0.07), (0.3, 0.6, 0.05, 0.05), (0.1, 0.1, 0.7, 0.1), (0.5, 0.2, 0.2, 0.1))
 MASK = "[SECRET]"
 
+#: Minus log chance of a first letter and of the next letter after a, b, ..., in quarters, as digits of base 36 (from words and names
+#: of program text, log-weighted, smoothed).
+_FIRST = "bdacccfgbjiddcdckcabfgejkk"
+_NEXT = (
+    "iecdgifmdoi8c9jeo898ghkifn 8jdg8jklbcn8jiahnddf9nnmbn 9lhi8kladocbji6jodg8emnnjo 9jid5gjl8nnejhajnfcddlmjio "
+    "ckcadeglhomce9ieg78akhjcin 9kiiabkl6oncjh7jo9edbnnnho ckii5kfbaondgccinaaeckmnkm 7lkj5lll9omhii8kodgbfnnnio "
+    "egcddeemiokcc6afnea9lgoimg alih4kklemhijh7hohah9gmmkn dkhg4jhk8nmcidghngafgjcnjo 9kjd6fll8omakiahohbccklndo "
+    "7eki5llmbomgega8oidhdmmnio alb99f9lcojgjfagoia8egmmio ffebffhmgnicc7ecn7dbbgelmn 8ljg7klidpmaki9co9ebemnnbo "
+    "elkhgklliojcjhijlffg1llnmo 9kgf6jflaohhed9jobcaejknfo emej6jjeaohgihcdlh96clknho alfi6il98omgiibhoacddmjmcl "
+    "ceeg9ghmdon9b8hbo9a9knommo 5ljk3lll9onjiiekoihhknmnlo 7kjh9kl96omhkcakoadhkmmmmo bh8g8emk9nnggih8nhg7kmlkgn "
+    "fhggcihldomeedd5ne88kjfllj alkh2jljaomhiibinighjmmkhj "
+).split()
 #: Alphabets of the encodings, smallest first.
 _ALPHABETS = {
     "hex": ("^[0-9a-f]+$", "0123456789abcdef"),
     "HEX": ("^[0-9A-F]+$", "0123456789ABCDEF"),
+    "lower": ("^[a-z]+$", "abcdefghijklmnopqrstuvwxyz"),
+    "UPPER": ("^[A-Z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     "base32": ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     "base36": ("^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     "BASE36": ("^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    "base62": ("^[0-9A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     "base64": ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 }
 
@@ -104,6 +120,26 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(assign, access, hexes))
 
 
+def _ordinary_cost(chars: Column) -> Column:
+    """Minus the log chance of a token's characters (+ and / for signs) in ordinary text."""
+    numbers = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    quarters = lambda text: numbers(int(c, 36) / 4 for c in text)
+    first, follows, classes = quarters(_FIRST), quarters("".join(_NEXT)), numbers(-math.log(p) for row in CLASS_NEXT for p in row)
+    kind = lambda x: F.when(x < 26, 0).when(x < 52, 1).when(x < 62, 2).otherwise(3)
+
+    def step(p: Column, q: Column) -> Column:
+        letter = F.when(p < 52, F.get(follows, p % 26 * 26 + q % 26)).otherwise(F.get(first, q % 26))
+        return F.get(classes, kind(p) * 4 + kind(q)) + F.when(q < 52, letter).when(q < 62, math.log(10)).otherwise(math.log(2))
+
+    def total(x: Column) -> Column:
+        head = F.when(x[0] < 52, F.get(first, x[0] % 26)).when(x[0] < 62, math.log(10)).otherwise(math.log(2))
+        costs = F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), step)
+        return head + F.aggregate(costs, F.lit(0.0), lambda a, c: a + c)
+
+    order = F.lit("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/")
+    return let(F.transform(chars, lambda c: F.instr(order, c) - 1), total)
+
+
 def _p_ordinary_and_random(token: Column) -> Column:
     """struct(natural, random): p-values of a token as ordinary text and as random."""
     code = F.lit("base64")
@@ -123,7 +159,7 @@ def _p_ordinary_and_random(token: Column) -> Column:
         counts = F.transform(F.array_distinct(chars), lambda c: n - F.length(F.replace(text, c, F.lit(""))))
         squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
         value = F.transform(chars, lambda c: F.instr(t["alphabet"], c).cast("double") - 1)
-        return let(F.struct(squares.alias("squares"), value.alias("x"), n.alias("n"), k.alias("k"), text.alias("text")), combine)
+        return let(F.struct(squares.alias("squares"), value.alias("x"), n.alias("n"), k.alias("k"), chars.alias("chars")), combine)
 
     def combine(t: Column) -> Column:
         n, k, x = t["n"], t["k"], t["x"]
@@ -140,15 +176,8 @@ def _p_ordinary_and_random(token: Column) -> Column:
         mean = 2 * ones * (n - ones) / n
         z_runs = F.when((ones == 0) | (ones == n), F.lit(9.0)).otherwise((turns - mean) / F.sqrt(F.greatest(mean * (mean - 1) / (n - 1), F.lit(1e-9))))
         random = F.least(F.lit(1.0), 3 * F.least(_two_sided(z_chi), _two_sided(z_runs), _two_sided(z_serial)))
-        #: ordinary text: few changes of class, many coincidences
-        kinds = F.translate(t["text"], "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "a" * 26 + "A" * 26 + "0" * 10 + "++")
-        changes = F.length(F.regexp_replace(kinds, r"(.)\1*", "$1")).cast("double") - 1
-        z_class = (changes - 0.5 - (n - 1) * CLASS_CHANGE) / F.sqrt((n - 1) * (CLASS_CHANGE * (1 - CLASS_CHANGE)))
-        both = n * (n - 1) / 2
-        spread = both * COINCIDENCE * (1 - COINCIDENCE) + n * (n - 1) * (n - 2) * (TRIPLE - COINCIDENCE * COINCIDENCE)
-        z_same = (both * COINCIDENCE - (t["squares"] - n) / 2) / F.sqrt(spread)
-        letters = t["text"].rlike("^[A-Za-z]+$")
-        natural = F.when(letters, F.least(F.lit(1.0), 2 * F.least(_tail(z_class), _tail(z_same)))).otherwise(_tail(z_class))
+        #: ordinary text: usual letter pairs, few changes of class
+        natural = F.exp(F.least(F.lit(0.0), n * F.log(k) - _ordinary_cost(t["chars"])))
         return F.struct(natural.alias("natural"), random.alias("random"), n.alias("n"))
 
     return let(F.struct(token.alias("token"), code.alias("code")), battery)
