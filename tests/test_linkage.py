@@ -2,6 +2,7 @@
 
 import ast
 import math
+import unicodedata
 from collections import Counter
 from pathlib import Path
 
@@ -9,6 +10,7 @@ import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weftline.functions import expr as X
 from weftline.functions import unicode as U
@@ -240,3 +242,68 @@ def test_nothing_else_imports_llm():
         for node in ast.walk(ast.parse(p.read_text())):
             names = [node.module or ""] if isinstance(node, ast.ImportFrom) else [a.name for a in node.names] if isinstance(node, ast.Import) else []
             assert not any("llm" in n.split(".") for n in names), p
+
+
+RECORDS = [
+    ("S1-1", "S1", "Soci\u00e9t\u00e9 G\u00e9n\u00e9rale", "12 Rue \u00c9toile 75001", "FR"),
+    ("S2-1", "S2", "Soci\u00e9t\u00e9 G\u00e9n\u00e9rale", "12 Rue \u00c9toile 75001", "FR"),
+    ("S3-1", "S3", "\uff33ociete Generale & Cie", "9 Elm 75001", "DE"),
+    ("S1-2", "S1", "\u0938\u0926\u0930\u094d\u0928 \u0928\u0917\u0930", "7 \u0928\u0917\u0930", "IN"),
+    ("S2-2", "S2", "\u0938\u0926\u0930\u094d\u0928 \u0928\u0917\u0930", "77 Main", "IN"),
+    ("S3-2", "S3", "sdrn ngr", "4500 Main", "IN"),
+    ("S1-3", "S1", "Acme Widgets", "4500 Oak", "US"),
+    ("S2-3", "S2", "", None, None),
+]
+VIEW = "entity_id string, src string, business_name string, business_address string, country string"
+
+
+@pytest.fixture(scope="module")
+def records(spark):
+    return spark.createDataFrame(RECORDS, VIEW).withColumn("content", F.col("entity_id"))
+
+
+def decomposed(x):
+    return " ".join(unicodedata.normalize("NFKD", x or "").lower().split())
+
+
+def grams_of(x, n=3):
+    return {x[k : k + n] for k in range(len(x) - n + 1)} or ({x} if x else set())
+
+
+def plain(x):
+    return " ".join("".join(c if c.isalnum() or c in "_ " else " " for c in decomposed(x).replace("&", " and ")).split())
+
+
+def test_grams_of_all_records(spark, records):
+    got = {tuple(r) for r in frames._whole(spark, SF, "char_ngrams", records).collect()}
+    assert got == {(i, g) for i, s, n, _, _ in RECORDS if s == "S1" for g in grams_of(decomposed(n).replace(" ", ""))}
+    words = {tuple(r) for r in frames._whole(spark, SF, "token_rows", records).collect()}
+    assert ("S1-2", "\u0938\u0926\u0930") in words and ("S1-1", "socie") in words and {i for i, _ in words} == {r[0] for r in RECORDS} - {"S2-3"}
+
+
+def char_ngram_pairs(rows):
+    keys = {r[0]: {g for g in grams_of(plain(r[2]).replace(" ", "")) if len(g) == 3} for r in rows}
+    found = {(a[0], b[0]): len(keys[a[0]] & keys[b[0]]) for a in rows if a[1] == "S1" for b in rows if b[1] != "S1"}
+    return {p: n for p, n in found.items() if n >= 2}
+
+
+def test_char_ngram_channel_of_all_records(spark, records):
+    got = {(r.s1_id, r.cand_id): r.score for r in frames._whole(spark, SF, "channel_char_ngram", records).collect()}
+    assert got == char_ngram_pairs(RECORDS) and {("S1-1", "S2-1"), ("S1-2", "S2-2")} <= set(got)
+
+
+def test_cosine_of_all_records(spark, records):
+    tf = {r[0]: Counter(f" {decomposed(r[2])} "[k : k + 3] for k in range(len(decomposed(r[2])))) for r in RECORDS}
+    tf = {i: c for i, c in tf.items() if c}
+    df = Counter(g for c in tf.values() for g in c)
+    w = {i: {g: (1 + math.log(n)) * (math.log((1 + len(tf)) / (1 + df[g])) + 1) for g, n in c.items()} for i, c in tf.items()}
+    cos = lambda a, b: sum(a[g] * b.get(g, 0) for g in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    got = {(r.s1_id, r.cand_id): r.cosine for r in frames._whole(spark, SF, "tfidf_cosine", records).collect()}
+    assert {("S1-1", "S2-1"), ("S1-2", "S2-2")} <= set(got)
+    assert all(math.isclose(x, cos(w[a], w[b]), abs_tol=2e-6) for (a, b), x in got.items())
+
+
+@pytest.mark.parametrize("name", ["similarity", "tokens_digits", "token_rows", "char_ngrams"])
+def test_all_rows_hold_those_of_ascii_text(spark, name):
+    whole, part = (rows((df := registry.queries()[n](spark, SF)).collect(), df.columns) for n in (name, f"{name}_ascii"))
+    assert part <= whole and whole.total() > part.total()

@@ -77,6 +77,12 @@ class Spark:
     def bucket(self, x: str) -> str:
         return f"CAST(conv(substr(md5({x}), 1, 8), 16, 10) AS BIGINT)"
 
+    #: SQL has no compatibility decomposition: forms that start with it are of ASCII text
+    ascii_only = True
+
+    def decomposed(self, x: str) -> str:
+        return x
+
     empty = "CAST(array() AS ARRAY<STRING>)"
     real = "CAST({} AS DOUBLE)"
 
@@ -156,7 +162,20 @@ class Duck(Spark):
     empty = "CAST([] AS VARCHAR[])"
 
 
-SPARK, DUCK = Spark(), Duck()
+class Whole(Spark):
+    """Spark SQL over records that have their decomposed text as columns."""
+
+    ascii_only = False
+    columns = {"business_name": "name_nfkd", "business_address": "address_nfkd"}
+
+    def decomposed(self, x: str) -> str:
+        return self.columns.get(x, x)
+
+    def rep(self, x: str, p: str, r: str) -> str:
+        return super().rep(x, r"(?U)\s+" if p == r"\s+" else p, r)
+
+
+SPARK, DUCK, WHOLE = Spark(), Duck(), Whole()
 
 #: Letters, digits and underscore of any script; ASCII where an operator's form asks for it.
 WORDS = r"[^\pL\pN_\s]"
@@ -196,7 +215,7 @@ def squeeze(d: Spark, x: str) -> str:
 
 def basic(d: Spark, x: str) -> str:
     """Lower case, white space collapsed; equals the NFKD form on ASCII text."""
-    return squeeze(d, f"lower(coalesce({x}, ''))")
+    return squeeze(d, f"lower(coalesce({d.decomposed(x)}, ''))")
 
 
 def norm_name(d: Spark, x: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,28 @@ def _cte(spark, sf_dir: str, name: str):
         del relational.QUERIES["_"]
 
 
+def _with_nfkd(e):
+    """Records with their decomposed name and address."""
+    return e.withColumns({X.Whole.columns[c]: U.nfkd(F.col(c)) for c in X.Whole.columns})
+
+
+def _whole(spark, sf_dir: str, name: str, e=None):
+    """A relational query of ASCII text, over all records: ``e`` or those of the tables."""
+    view = f"records_{uuid.uuid4().hex}"
+    _with_nfkd(_cte(spark, sf_dir, "e") if e is None else e).createOrReplaceTempView(view)
+    kept = relational.CTES["e"]
+    relational.CTES["e"] = ((), lambda d: f"SELECT * FROM {view}")
+    try:
+        return spark.sql(relational.render(name, X.WHOLE, sf_dir))
+    finally:
+        relational.CTES["e"] = kept
+        spark.catalog.dropTempView(view)
+
+
+#: queries of which SQL has only the ASCII records (there under the name with _ascii)
+WHOLE = ("channel_char_ngram", "tfidf_idf", "tfidf_transform", "tfidf_cosine", "bucket_knn", "similarity", "tokens_digits", "token_rows", "char_ngrams")
+
+
 def normalize_unicode(spark, sf_dir):
     e = _cte(spark, sf_dir, "e")
     name = F.col("business_name")
@@ -85,4 +109,13 @@ def train_predict(spark, sf_dir):
     return scoring.predict(model, f.where("is_val AND in_retrieval")).select("s1_id", "cand_id", F.col("label").cast("int"), "proba")
 
 
-QUERIES = {f.__name__: f for f in (normalize_unicode, transliteration, keys_transliteration, channel_transliteration, fuzzy_ratios, pair_features_24, pair_features_6, train_predict)}
+def _of_all(name: str):
+    def run(spark, sf_dir):
+        return _whole(spark, sf_dir, name)
+
+    run.__name__ = name
+    return run
+
+
+QUERIES = {name: _of_all(name) for name in WHOLE}
+QUERIES |= {f.__name__: f for f in (normalize_unicode, transliteration, keys_transliteration, channel_transliteration, fuzzy_ratios, pair_features_24, pair_features_6, train_predict)}

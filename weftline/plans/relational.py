@@ -46,7 +46,7 @@ def render(name: str, d: X.Spark, sf_dir: str | None = None) -> str:
 
 
 def ascii_(d: X.Spark, *cols: str) -> str:
-    return " AND ".join(f"NOT {d.like(f"coalesce({c}, '')", r'[^\x00-\x7F]')}" for c in cols)
+    return "TRUE" if not d.ascii_only else " AND ".join(f"NOT {d.like(f"coalesce({c}, '')", r'[^\x00-\x7F]')}" for c in cols)
 
 
 # Sources.
