@@ -2,6 +2,7 @@
 
 import ast
 import math
+import re
 import unicodedata
 from collections import Counter
 from pathlib import Path
@@ -307,3 +308,37 @@ def test_cosine_of_all_records(spark, records):
 def test_all_rows_hold_those_of_ascii_text(spark, name):
     whole, part = (rows((df := registry.queries()[n](spark, SF)).collect(), df.columns) for n in (name, f"{name}_ascii"))
     assert part <= whole and whole.total() > part.total()
+
+
+def all_channel_pairs(rows):
+    """Of records with at most a few candidates: pairs that any channel finds."""
+    lower = lambda x: " ".join("".join(c if unicodedata.category(c)[0] in "LN" or c in "_&" else " " for c in (x or "").lower()).split())
+
+    def baseline(r):
+        n, a = lower(r[2]), lower(r[3]).replace("&", "")
+        return {k for k in (("bn", n), ("ba", a), ("cp", r[4], n[:5]) if len(n[:5]) >= 3 and r[4] else None) if k and k[1]}
+
+    def numbers(r):
+        a = r[3] or ""
+        house = re.match(r"\s*(\d+[a-zA-Z]?)\b", a, re.A)
+        return {("num", x) for x in re.findall("[0-9]+", a) if len(x) >= 3} | ({("house", house[1].lower())} if house else set())
+
+    def latin(r):
+        t = plain(U.to_latin(r[2]))
+        grams = {g for g in grams_of(t.replace(" ", "")) if len(g) == 3} if not (r[2] or "").isascii() else set()
+        return t if len(t) >= 4 else None, grams
+
+    found = set(char_ngram_pairs(rows))
+    for a in (r for r in rows if r[1] == "S1"):
+        for b in (r for r in rows if r[1] != "S1"):
+            (x, g), (y, h) = latin(a), latin(b)
+            if baseline(a) & baseline(b) or numbers(a) & numbers(b) or x and x == y or len(g & h) >= 2:
+                found.add((a[0], b[0]))
+    return found
+
+
+def test_all_four_channels(spark, records):
+    got = [tuple(r) for r in frames._all_channels(spark, SF, records).collect()]
+    assert len(got) == len(set(got)) and set(got) == all_channel_pairs(RECORDS)
+    #: by address numbers alone, and by transliteration alone
+    assert {("S1-3", "S3-2"), ("S1-2", "S3-2")} <= set(got)

@@ -34,6 +34,8 @@ def _whole(spark, sf_dir: str, name: str, e=None):
     kept = relational.CTES["e"]
     relational.CTES["e"] = ((), lambda d: f"SELECT * FROM {view}")
     try:
+        if name in relational.CTES:
+            return _cte(spark, sf_dir, name)
         return spark.sql(relational.render(name, X.WHOLE, sf_dir))
     finally:
         relational.CTES["e"] = kept
@@ -70,7 +72,11 @@ def keys_transliteration(spark, sf_dir):
 
 def channel_transliteration(spark, sf_dir):
     """Records with an equal whole key, and of those that share two grams the best 3000 a target."""
-    keys = _translit_keys(_cte(spark, sf_dir, "e"))
+    return _translit_hits(_cte(spark, sf_dir, "e"))
+
+
+def _translit_hits(e):
+    keys = _translit_keys(e)
     q = keys.where("src = 'S1'").select(F.col("entity_id").alias("s1_id"), "key")
     c = keys.where("src <> 'S1'").select(F.col("entity_id").alias("cand_id"), F.col("src").alias("target"), "key")
     whole = F.col("key").startswith("tl:")
@@ -80,6 +86,18 @@ def channel_transliteration(spark, sf_dir):
     return hits.withColumn("r", F.row_number().over(best)).where("whole > 0 OR grams >= 2 AND r <= 3000").select("s1_id", "cand_id", (F.col("grams") + F.col("whole")).alias("score"))
 
 
+def retrieve_all_channels(spark, sf_dir):
+    return _all_channels(spark, sf_dir, _cte(spark, sf_dir, "e"))
+
+
+def _all_channels(spark, sf_dir, e):
+    """Candidates of any of the four channels, each with its own cap, over one entity view."""
+    found = _translit_hits(e).select("s1_id", "cand_id")
+    for name in ("retrieval_cap", "channel_char_ngram", "address_hits"):
+        found = found.union(_whole(spark, sf_dir, name, e).select("s1_id", "cand_id"))
+    return found.distinct()
+
+
 def fuzzy_ratios(spark, sf_dir):
     """Names are normalised once a record and compared once for each two different names."""
     names = _cte(spark, sf_dir, "e").select("entity_id", U.normalize_name(F.col("business_name")).alias("n"))
@@ -118,4 +136,4 @@ def _of_all(name: str):
 
 
 QUERIES = {name: _of_all(name) for name in WHOLE}
-QUERIES |= {f.__name__: f for f in (normalize_unicode, transliteration, keys_transliteration, channel_transliteration, fuzzy_ratios, pair_features_24, pair_features_6, train_predict)}
+QUERIES |= {f.__name__: f for f in (normalize_unicode, transliteration, keys_transliteration, channel_transliteration, retrieve_all_channels, fuzzy_ratios, pair_features_24, pair_features_6, train_predict)}

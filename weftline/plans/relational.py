@@ -211,6 +211,9 @@ def _channel(keys, max_df: int, overlap: int, cap: int):
 #: the name is normalised once a record, not once a gram
 cte("ckn", "e")(lambda d: f"SELECT entity_id, src, key FROM (SELECT entity_id, src, {X.gram_keys_of(d, 'n')} AS ks FROM (SELECT entity_id, src, {X.norm_name(d, 'business_name')} AS n FROM e WHERE {ascii_(d, 'business_name')}) t0) t {d.unnest('ks', 'key')}")
 cte("cka", "p")(lambda d: f"SELECT entity_id, src, key FROM (SELECT entity_id, src, {X.address_keys(d, 'business_address', 'country')} AS ks FROM p) t {d.unnest('ks', 'key')}")
+cte("ckae", "e")(lambda d: f"SELECT entity_id, src, key FROM (SELECT entity_id, src, {X.address_keys(d, 'business_address', 'country')} AS ks FROM e) t {d.unnest('ks', 'key')}")
+#: of the view e, candidates by address numbers
+cte("address_hits", "ckae")(lambda d: _channel("ckae", *CHANNELS["address_numeric"])(d).replace(" ck ", " ckae "))
 QUERIES["channel_char_ngram"] = (("ckn",), lambda d: _channel("ckn", *CHANNELS["char_ngram"])(d).replace(" ck ", " ckn "))
 QUERIES["channel_address_numeric"] = (("cka",), lambda d: _channel("cka", *CHANNELS["address_numeric"])(d).replace(" ck ", " cka "))
 QUERIES["retrieve_all_channels"] = (("cand", "ckn"), lambda d: f"SELECT s1_id, cand_id FROM cand UNION SELECT s1_id, cand_id FROM ({_channel('ckn', *CHANNELS['char_ngram'])(d).replace(' ck ', ' ckn ')}) x")
