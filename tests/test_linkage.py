@@ -342,3 +342,14 @@ def test_all_four_channels(spark, records):
     assert len(got) == len(set(got)) and set(got) == all_channel_pairs(RECORDS)
     #: by address numbers alone, and by transliteration alone
     assert {("S1-3", "S3-2"), ("S1-2", "S3-2")} <= set(got)
+
+
+def test_submission_cap_follows_key_order(spark):
+    """The reference stops after the cap in the order of keys, then postings."""
+    rows = [("S1-1", "S1", "Acme Widgets", "100 Oak", "US")]
+    rows += [(f"S{2 + k % 2}-{k}", f"S{2 + k % 2}", "Other", "100 Elm", "US") for k in range(1, 8)]
+    rows += [("S3-20", "S3", "Acme", "9 Elm", "US"), ("S2-100", "S2", "Acme", "8 Elm", "US"), ("S2-30", "S2", "Widgets", "7 Elm", "US")]
+    df = spark.createDataFrame(rows, VIEW)
+    want = ["S2-100", "S3-20", "S2-30", "S2-2", "S2-4", "S2-6", "S3-1", "S3-3", "S3-5", "S3-7"]
+    for cap in (1, 3, 5, 10):
+        assert {tuple(r) for r in frames._submission(df, cap).collect()} == {("S1-1", i) for i in want[:cap]}

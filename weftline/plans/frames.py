@@ -98,6 +98,22 @@ def _all_channels(spark, sf_dir, e):
     return found.distinct()
 
 
+def submission_candidates(spark, sf_dir):
+    return _submission(_cte(spark, sf_dir, "p"))
+
+
+def _submission(p, cap: int = relational.SUBMISSION_CAP):
+    """The first ``cap`` candidates in the order of the record's keys, and of a key's postings
+    in the order of their source and number."""
+    keys = p.select("entity_id", "src", F.posexplode(F.expr(X.submission_keys(X.SPARK, "business_name", "business_address", "country"))).alias("at", "key"))
+    q = keys.where("src = 'S1'").select(F.col("entity_id").alias("s1_id"), "key", "at")
+    c = keys.where("src <> 'S1'").select(F.col("entity_id").alias("cand_id"), "key", "src", F.element_at(F.split("entity_id", "-"), -1).cast("long").alias("number"))
+    few = c.groupBy("key").count().where(F.col("count") <= relational.SUBMISSION_BUCKET).select("key")
+    hits = q.join(c.join(few, "key"), "key").groupBy("s1_id", "cand_id").agg(F.min(F.struct("at", "src", "number", "cand_id")).alias("first"))
+    order = Window.partitionBy("s1_id").orderBy("first")
+    return hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap).select("s1_id", "cand_id")
+
+
 def fuzzy_ratios(spark, sf_dir):
     """Names are normalised once a record and compared once for each two different names."""
     names = _cte(spark, sf_dir, "e").select("entity_id", U.normalize_name(F.col("business_name")).alias("n"))
@@ -136,4 +152,4 @@ def _of_all(name: str):
 
 
 QUERIES = {name: _of_all(name) for name in WHOLE}
-QUERIES |= {f.__name__: f for f in (normalize_unicode, transliteration, keys_transliteration, channel_transliteration, retrieve_all_channels, fuzzy_ratios, pair_features_24, pair_features_6, train_predict)}
+QUERIES |= {f.__name__: f for f in (normalize_unicode, transliteration, keys_transliteration, channel_transliteration, retrieve_all_channels, submission_candidates, fuzzy_ratios, pair_features_24, pair_features_6, train_predict)}
