@@ -353,3 +353,27 @@ def test_submission_cap_follows_key_order(spark):
     want = ["S2-100", "S3-20", "S2-30", "S2-2", "S2-4", "S2-6", "S3-1", "S3-3", "S3-5", "S3-7"]
     for cap in (1, 3, 5, 10):
         assert {tuple(r) for r in frames._submission(df, cap).collect()} == {("S1-1", i) for i in want[:cap]}
+
+
+def test_cosine_of_names_and_addresses(spark, records):
+    texts = {}
+    for i, _, n, a, _ in RECORDS:
+        form = lambda x: " ".join("".join(c if re.match(r"[^\W_]", c) else " " for c in unicodedata.normalize("NFKC", x or "").lower().replace("&", " and ")).split())
+        t = form(U.to_latin(n))
+        texts[i] = " ".join(x for x in (form(n), t if not n.isascii() and t != form(n) else "", form(a)) if x)
+    tf = {i: Counter(w[k : k + m] for w in (f" {w} " for w in t.split()) for m in (3, 4) for k in range(len(w) - m + 1)) for i, t in texts.items()}
+    df = Counter(g for c in tf.values() for g in c)
+    w = {i: {g: (1 + math.log(n)) * (math.log((1 + len(tf)) / (1 + df[g])) + 1) for g, n in c.items()} for i, c in tf.items()}
+    norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in w.items()}
+    pairs = spark.createDataFrame([(a[0], b[0]) for a in RECORDS if a[1] == "S1" for b in RECORDS if b[1] != "S1"], "s1_id string, cand_id string")
+    got = {(r.s1_id, r.cand_id): r.cosine for r in frames._record_cosine(records, pairs).collect()}
+    assert len(got) == 15 and math.isclose(got["S1-1", "S2-1"], 1) and got["S1-2", "S3-2"] > 0.1 and got["S1-3", "S2-3"] == 0
+    for (a, b), x in got.items():
+        assert math.isclose(x, sum(p * w[b].get(g, 0) for g, p in w[a].items()) / (norm[a] * norm[b] or 1), abs_tol=1e-9), (a, b)
+
+
+def test_identical_records_have_cosine_one(spark):
+    got = registry.queries()["pair_features_6"](spark, SF)
+    same = frames._cte(spark, SF, "pairs").where("name1 = name2 AND addr1 = addr2 AND name1 <> ''").select("s1_id", "cand_id")
+    low = [r for r in got.join(same, ["s1_id", "cand_id"]).collect() if r.name_address_tfidf_cosine < 0.999]
+    assert not low and got.count() == frames._cte(spark, SF, "pairs").count()

@@ -130,6 +130,16 @@ def weighted(a: str, b: str) -> float:
     return max(ratio(a, b), scale * partial(a, b), 0.95 * scale * both)
 
 
+@F.pandas_udf(T.DoubleType())
+def dot(g: pd.Series, v: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
+    """Products of two sparse vectors (keys, values); of a missing one 0."""
+    out = []
+    for a, x, b, y in zip(g, v, h, w, strict=True):
+        other = {} if b is None else dict(zip(b, y, strict=True))
+        out.append(0.0 if a is None else sum((p * other[k] for k, p in zip(a, x, strict=True) if k in other), 0.0))
+    return pd.Series(out, dtype="float64")
+
+
 _RATIOS = {"ratio": ratio, "token_sort_ratio": token_sort, "token_set_ratio": token_set, "wratio": weighted}
 
 

@@ -128,11 +128,39 @@ def pair_features_24(spark, sf_dir):
     return scoring.pair_features(_cte(spark, sf_dir, "pairs")).select("s1_id", "cand_id", F.col("label").cast("int"), *scoring.FEATURES)
 
 
+#: fixed value: most grams of the vectors of name and address
+VOCABULARY = 100_000
+
+
+def _record_vectors(e):
+    """TF-IDF of the 3- and 4-grams within words of name, its transliteration and address: entity_id, grams, weights."""
+    d = X.SPARK
+    forms = e.select("entity_id", "business_name", U.nfkc("business_name").alias("n0"), U.transliterated("business_name").alias("t0"), U.nfkc("business_address").alias("a0"))
+    forms = forms.select("entity_id", "business_name", *[F.expr(X.legal_text(d, f"{c}0")).alias(c) for c in "nta"])
+    latin = F.when(F.col("business_name").rlike(r"[^\x00-\x7F]") & (F.col("t") != F.col("n")), F.col("t"))
+    text = forms.select("entity_id", F.concat_ws(" ", "n", latin, "a").alias("text"))
+    words = text.select("entity_id", F.explode(F.expr(X.tokens(d, "text"))).alias("w")).select("entity_id", F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
+    grams = F.expr(d.cat(X.ngrams_ordered(d, "w", 3), X.ngrams_ordered(d, "w", 4)))
+    tf = words.select("entity_id", F.explode(grams).alias("gram")).groupBy("entity_id", "gram").count()
+    known = tf.groupBy("gram").agg(F.sum("count").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "gram").limit(VOCABULARY)
+    n = e.agg(F.count("*").alias("n_all"))
+    idf = known.crossJoin(n).select("gram", (F.log((1 + F.col("n_all")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = tf.join(idf, "gram").select("entity_id", "gram", ((1 + F.log("count")) * F.col("idf")).alias("w"))
+    both = raw.groupBy("entity_id").agg(F.collect_list(F.struct("gram", "w")).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return both.select("entity_id", F.col("v.gram").alias("grams"), F.transform("v.w", lambda x: x / F.col("norm")).alias("weights"))
+
+
+def _record_cosine(e, pairs):
+    """``pairs`` with the cosine of both records' vectors, 0 only for an empty one or nothing shared."""
+    v = _record_vectors(e)
+    side = lambda k, c: v.select(F.col("entity_id").alias(c), F.col("grams").alias(f"g{k}"), F.col("weights").alias(f"w{k}"))
+    both = pairs.join(side(1, "s1_id"), "s1_id", "left").join(side(2, "cand_id"), "cand_id", "left")
+    return both.withColumn("cosine", U.dot("g1", "w1", "g2", "w2")).drop("g1", "w1", "g2", "w2")
+
+
 def pair_features_6(spark, sf_dir):
-    f = scoring.pair_features(_cte(spark, sf_dir, "pairs"))
-    cos = _cte(spark, sf_dir, "cos")
-    six = f.join(cos, ["s1_id", "cand_id"], "left")
-    return six.select("s1_id", "cand_id", F.col("label").cast("tinyint").alias("label"), F.col("name_ratio").cast("float").alias("name_levenshtein_ratio"), F.col("name_token_jaccard").cast("float"), F.coalesce("cosine", F.lit(0.0)).cast("float").alias("name_address_tfidf_cosine"), F.col("addr_token_jaccard").cast("float").alias("address_token_jaccard"), (F.col("country1") == F.col("country2")).cast("tinyint").alias("country_match"), F.col("name_len_diff").cast("int").alias("name_length_diff"))
+    six = _record_cosine(_cte(spark, sf_dir, "e"), scoring.pair_features(_cte(spark, sf_dir, "pairs")))
+    return six.select("s1_id", "cand_id", F.col("label").cast("tinyint").alias("label"), F.col("name_ratio").cast("float").alias("name_levenshtein_ratio"), F.col("name_token_jaccard").cast("float"), F.col("cosine").cast("float").alias("name_address_tfidf_cosine"), F.col("addr_token_jaccard").cast("float").alias("address_token_jaccard"), (F.col("country1") == F.col("country2")).cast("tinyint").alias("country_match"), F.col("name_len_diff").cast("int").alias("name_length_diff"))
 
 
 def train_predict(spark, sf_dir):
