@@ -5,10 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written since the innermost ``finished`` began.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a local folder only where that is
@@ -28,10 +33,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     cut there and a lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/weftline/{name}-{uuid.uuid4().hex}"
+    if (written := _written.get()) is not None:
+        written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a stored table; nothing happens if it isn't there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, as a stored table; the tables it stored on its way are deleted."""
+    token = _written.set(paths := [])
+    try:
+        out = make()
+    finally:
+        _written.reset(token)
+    try:
+        return stored(out, name)
+    finally:
+        for path in paths:
+            delete(out.sparkSession, path)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, n: int):
     """Arrow batches of at most n rows in what is executed inside: for wide rows."""
