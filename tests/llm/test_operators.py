@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from weftline import storage
 from weftline.llm import bpe, chat, langid, media, mixing, near_dedup, quality_qda, quality_rules, queries, secrets, stages, urls
 
 SF = "/root/testdata/sf0.001"
@@ -103,6 +104,33 @@ def test_near_duplicates_match_brute_force_on_tables(documents):
     assert got == brute_components([(r.doc_id, r.text) for r in documents.collect()])[0]
 
 
+def test_a_large_group_of_near_copies_forms_few_pairs(spark, monkeypatch):
+    """600 copies of one text with 0 to 9 words changed: 180 000 pairs, of which about a fifth are similar."""
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    base, rows, pairs = [rng.choice(vocabulary) for _ in range(100)], [], []
+    for k in range(600):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 10)):
+            copy[rng.randrange(100)] = rng.choice(vocabulary)
+        rows.append((k, " ".join(copy)))
+    candidates = near_dedup._candidates
+    monkeypatch.setattr(near_dedup, "_candidates", lambda prefix: pairs.append(candidates(prefix)) or pairs[0])
+    monkeypatch.setattr(storage, "delete", lambda *_: None)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)[0]
+    assert pairs[0].count() < 5 * len(rows)
+
+
+def test_stored_tables_are_deleted(spark, documents):
+    from pathlib import Path
+
+    folder = Path(storage.shared_dir(spark).removeprefix("file:")) / "weftline"
+    before = {p.name for p in folder.glob("*")}
+    near_dedup.near_duplicates(documents.limit(20))
+    assert [n.rsplit("-", 1)[0] for n in {p.name for p in folder.glob("*")} - before] == ["near-duplicates"]
+
+
 def test_near_duplicates_edges(edges, empty):
     got = sorted(near_dedup.near_duplicates(edges).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
     assert [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got[:3]] == [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True)]

@@ -99,3 +99,9 @@ def fold(values: np.ndarray, salt: int) -> np.ndarray:
     """One 64-bit key for each row of a (rows, k) matrix."""
     with np.errstate(over="ignore"):
         return _splitmix((values * constants(values.shape[1], salt)).sum(axis=1, dtype=np.uint64)).view(np.int64)
+
+
+def salted(values: np.ndarray, salt: int) -> np.ndarray:
+    """The values as 64-bit keys that differ from those under another salt."""
+    with np.errstate(over="ignore"):
+        return _splitmix(values ^ _splitmix(np.array([salt], np.int64).view(np.uint64))).view(np.int64)

@@ -6,18 +6,20 @@ the first and tuple j of the second collection, so HALVES**2 tables cost about
 the square root of the minhashes that independent tables would. Tuples of the
 first collection that no other document has are dropped before pairs are
 formed, so a document without relatives never emits its HALVES**2 keys. At a
-similarity of 0.75 a pair shares a table with probability over 0.9998.
+similarity of 0.75 a pair shares a table with probability over 0.99998.
 
 Links. Each table's documents are checked on their full shingle sets against
-one representative (linear in a group of copies). Links make components. Where
-a table still holds several components, its documents go on to an exact
-set-similarity join: their shingles are ordered rarest first, two documents at
-0.75 must share one within the first quarter at positions that leave enough
-room, and only pairs of different components are formed. Where many share such
-a shingle, they are first checked against one representative of its largest
-component, ROUNDS times, which joins most of what belongs together; all pairs
-that then still lie in different components follow. A pair inside one component
-needs no check, since only membership is asked for.
+one representative, the document with the most partners (linear in a group of
+copies). Links make components. Where a representative's documents still lie in
+several components, pairs of them may be similar without being similar to it.
+Those are found by what sets them apart: let D(x) be the shingles that x and
+the representative r don't share, d its size and n that of x. Two documents'
+sets differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles, so a link needs
+a common part of D(x) and D(y) of (A(x) + A(y)) / (2 (100 + PERCENT)) at least, where
+A = (100 + PERCENT) d - (100 - PERCENT) n. Where that isn't positive, both are
+linked to r. So an exact prefix join over the differences, rarest first, with
+positions that must leave room, finds all pairs; what a group of copies has in
+common is in no difference, so large groups form few pairs.
 
 Identical shingle sets are one node from the start, so groups of exact copies,
 even a third of all rows, are pre-aggregated and never compared.
@@ -26,6 +28,8 @@ Defined results: null, empty or blank text has n_shingles 0 and is linked with
 nothing (component_id = doc_id). A null doc_id has a null component_id and is
 kept. Rows that repeat a doc_id count as one document with several texts: it
 is linked if one of them is. Other columns are ignored, whatever their names.
+An empty table gives no rows. Results are a table in the shared folder; the
+tables on the way to it are deleted.
 """
 
 from __future__ import annotations
@@ -40,14 +44,12 @@ from pyspark.sql import functions as F
 
 from weftline.llm import _shingles as S
 from weftline.llm._worker import release
-from weftline.storage import arrow_rows, stored, table
+from weftline.storage import arrow_rows, finished, stored, table
 
-HALVES = 12
+HALVES = 14
 ROWS = 2
 #: Similarity in percent.
 PERCENT = 75
-#: Rounds of checks against representatives in the completion.
-ROUNDS = 2
 #: Ids are broadcast to fetch texts only while their bytes stay below this.
 BROADCAST_BYTES = 32 << 20
 #: Rows of an Arrow batch of texts.
@@ -88,29 +90,37 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column(0), pa.array(packed, pa.binary())], ["node", "shingles"])
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes of both sets of each row and the number of shingles that only one has."""
     release()
     for batch in batches:
-        for lo in range(0, batch.num_rows, 64):
-            part = batch.slice(lo, 64)
-            sets = [S.shingle_set(t.as_py()).view(np.int64) for t in part.column(2)]
-            n = np.array([len(s) for s in sets])
-            yield pa.record_batch(
-                [pa.array(np.repeat(c.to_numpy(zero_copy_only=False), n), pa.int64()) for c in part.columns[:2]]
-                + [pa.array(np.repeat(n, n), pa.int64()), pa.array(np.concatenate(sets) if sets else [], pa.int64())],
-                ["node", "comp", "n", "shingle"],
-            )
+        n = [[], [], []]
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            for out, v in zip(n, (len(a), len(b), len(a) + len(b) - 2 * both), strict=True):
+                out.append(v)
+        yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(v, pa.int64()) for v in n]], ["a", "b", "n_a", "n_b", "d"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle that a document and its representative don't share;
+    the key holds both the shingle and the representative."""
     release()
     for batch in batches:
-        yes = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            yes.append(100 * both >= PERCENT * (len(a) + len(b) - both))
-        yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
+        for lo in range(0, batch.num_rows, 64):
+            part = batch.slice(lo, 64)
+            reps = part.column(1).to_numpy(zero_copy_only=False)
+            keys = []
+            for rep, x, y in zip(reps, part.column(5), part.column(6), strict=True):
+                apart = np.setxor1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True)
+                keys.append(S.salted(apart, int(rep)))
+            n = np.array([len(k) for k in keys], np.int64)
+            yield pa.record_batch(
+                [pa.array(np.repeat(c.to_numpy(zero_copy_only=False), n), pa.int64()) for c in part.columns[:5]]
+                + [pa.array(np.repeat(n, n), pa.int64()), pa.array(np.concatenate(keys) if keys else [], pa.int64())],
+                ["node", "rep", "comp", "a", "need", "d", "key"],
+            )
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -120,16 +130,17 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.join(ids, docs.doc_id == ids.node).select(*[ids[c] for c in nodes.columns], "text")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full shingle sets are similar enough."""
-    nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ids")
-    sets = _texts_of(docs, nodes).mapInArrow(_sets, "node long, shingles binary")
-    sets = stored(sets, "sets")
-    one = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    other = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    both = pairs.join(one, "b").join(other, "a").select("a", "b", "x", "y")
+def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, d) of the pairs (a, b): sizes of the shingle sets and of their difference."""
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both = pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y")
     with arrow_rows(pairs.sparkSession, 256):
-        return stored(both.mapInArrow(_linked, "a long, b long"), "links")
+        return stored(both.mapInArrow(_compared, "a long, b long, n_a long, n_b long, d long"), "compared")
+
+
+#: 100 * common >= PERCENT * all, by the number of shingles that only one of the two has.
+_SIMILAR = f"{100 + PERCENT} * d <= {100 - PERCENT} * (n_a + n_b)"
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -152,96 +163,90 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _majority(rows: DataFrame, key: str) -> DataFrame:
-    """(key, main) of the keys whose rows lie in several components; main has most."""
-    sizes = rows.groupBy(key, "comp").agg(F.count("*").alias("size"))
-    return (
-        sizes.groupBy(key)
-        .agg(F.count("*").alias("comps"), F.max(F.struct("size", "comp")).alias("top"))
-        .where("comps > 1")
-        .select(key, F.col("top.comp").alias("main"))
-    )
-
-
 def _tables(nodes: DataFrame) -> DataFrame:
-    """(key, node, rep): the documents of every table entry that has two or more."""
+    """(a, b): each document of a table entry of two or more, and the entry's representative."""
     firsts = nodes.select("node", F.explode("u").alias("uk"))
-    common = firsts.groupBy("uk").agg(F.count("*").alias("n")).where("n > 1").select("uk")
-    alive = firsts.join(common, "uk").groupBy("node").agg(F.collect_set("uk").alias("us"))
-    keys = alive.join(nodes.select("node", "v"), "node").select("node", "v", F.explode("us").alias("uk"))
-    keys = keys.select("node", "uk", F.explode("v").alias("vk")).select("node", F.xxhash64("uk", "vk").alias("key"))
-    best = F.min(F.struct(F.xxhash64("node").alias("priority"), "node"))
+    common = stored(firsts.groupBy("uk").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    alive = firsts.join(common, "uk").groupBy("node").agg(F.collect_list("uk").alias("us"), F.sum("n").alias("partners"))
+    keys = alive.join(nodes.select("node", "v"), "node").select("node", "partners", "v", F.explode("us").alias("uk"))
+    keys = keys.select("node", "partners", "uk", F.explode("v").alias("vk")).select("node", "partners", F.xxhash64("uk", "vk").alias("key"))
+    best = F.max(F.struct("partners", F.xxhash64("node").alias("tie"), "node"))
     entries = keys.groupBy("key").agg(F.count("*").alias("n"), best.alias("best")).where("n > 1")
-    return stored(keys.join(entries.select("key", F.col("best.node").alias("rep")), "key"), "tables")
-
-
-def _prefixes(docs: DataFrame, tables: DataFrame, comp: DataFrame) -> DataFrame:
-    """(node, comp, n, p, shingle): the first shingles, rarest first, of the documents
-    in table entries with several components; p counts the shingles before."""
-    now = tables.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    now = stored(now, "tables")
-    mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    open_ = stored(now.join(mixed, "key").select("node", "comp").distinct(), "open")
-    rows = stored(
-        _texts_of(docs, open_).select("node", "comp", "text").mapInArrow(_set_rows, "node long, comp long, n long, shingle long"),
-        "shingles",
+    entries = stored(entries.select("key", F.col("best.node").alias("rep")), "entries")
+    members = keys.join(entries, "key").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    return stored(members.distinct(), "members")
+
+
+def _apart(members: DataFrame, sets: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, node, comp, a, left): the first differences, rarest first, of the documents
+    whose representative has documents of several components; left counts those from there on."""
+    own = F.expr(f"{100 + PERCENT} * d - {100 - PERCENT} * n_a")
+    limit = F.col("n_b") * (100 - PERCENT)
+    rows = members.join(comp, members.a == comp.node, "left").select(
+        F.col("a").alias("node"), F.col("b").alias("rep"), F.coalesce("comp", "a").alias("comp"), own.alias("a"), limit.alias("limit"), "d"
     )
-    #: only shingles of several components can link two of them; the others come first, like those of one document
-    spread = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    common = spread.where("low <> high").select("shingle", "df")
-    lists = (
-        rows.join(common, "shingle")
-        .groupBy("node", "comp", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    rows = stored(rows, "compared")
+    #: a document linked to the representative needs a partner that isn't
+    reps = rows.groupBy("rep").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"),
+        F.min(F.when(F.col("a") > F.col("limit"), F.col("a"))).alias("out"), F.min(F.when(F.col("a") <= F.col("limit"), F.col("a"))).alias("in"),
     )
-    #: shingles without a partner come first, so they only shift the others' positions
-    first = F.col("n") - F.size("s")
-    last = F.col("n") - F.ceil(F.col("n") * PERCENT / 100)
-    prefix = lists.where(first <= last).select("node", "comp", "n", first.alias("first"), F.slice("s", 1, (last - first + 1).cast("int")).alias("s"))
-    prefix = prefix.select("node", "comp", "n", "first", F.posexplode("s").alias("at", "s"))
-    return stored(prefix.select("node", "comp", "n", (F.col("first") + F.col("at")).alias("p"), F.col("s.shingle").alias("shingle")), "prefix")
-
-
-def _sides(prefix: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows outside their shingle's largest component, and all rows with in_main, of
-    shingles with several components."""
-    split = prefix.join(_majority(prefix, "shingle"), "shingle")
-    x = split.where("comp <> main").select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("node", "comp", "n", "p")])
-    y = split.select("shingle", (F.col("comp") == F.col("main")).alias("in_main"), *[F.col(c).alias(f"{c}_y") for c in ("node", "comp", "n", "p")])
-    return x, y
-
-
-def _pairs(x: DataFrame, y: DataFrame, which) -> DataFrame:
-    """Pairs (a, b) of different components whose positions leave room for the similarity."""
-    room = F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y")) * (100 + PERCENT) >= (F.col("n_x") + F.col("n_y")) * PERCENT
-    pairs = x.join(y, (x.shingle == y.shingle) & (F.col("comp_x") != F.col("comp_y")) & room & which)
+    reps = stored(reps.where("low <> high and out is not null").select("rep", "out", "in"), "representatives")
+    common = lambda partner: F.ceil((F.col("a") + partner) / (2 * (100 + PERCENT)))
+    with_out = common(F.col("out"))
+    need = F.when(F.col("a") <= F.col("limit"), with_out).otherwise(F.least(with_out, common(F.col("in"))))
+    #: a partner's difference holds the common part, and its set is larger than the representative's by that difference at most
+    need = F.greatest(F.lit(1), need, F.ceil((F.col("a") - F.col("limit")) / 200))
+    open_ = rows.join(reps, "rep").select("node", "rep", "comp", "a", need.cast("long").alias("need"), "d").where("need <= d").drop("d")
+    open_ = stored(open_, "open")
+    x = sets.select("node", F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("rep"), F.col("shingles").alias("y"))
+    both = open_.join(x, "node").join(y, "rep").select("node", "rep", "comp", "a", "need", "x", "y")
+    with arrow_rows(members.sparkSession, 256):
+        apart = both.mapInArrow(_differences, "node long, rep long, comp long, a long, need long, d long, key long")
+        apart = stored(apart, "differences")
+    #: only what documents of several components have can link two of them; the rest comes first and only shifts positions
+    spread = apart.groupBy("key").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    spread = stored(spread.where("low <> high").select("key", "df"), "spread")
+    lists = apart.join(spread, "key").groupBy("node", "rep", "comp", "a", "need", "d")
+    lists = lists.agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("s"))
+    size, room = F.size("s"), F.size("s") - F.col("need") + 1
+    prefix = lists.where(room > 0).select("node", "comp", "a", size.alias("size"), F.posexplode(F.slice("s", F.lit(1), room.cast("int"))).alias("at", "s"))
+    return stored(prefix.select("node", "comp", "a", (F.col("size") - F.col("at")).alias("left"), F.col("s.key").alias("key")), "prefix")
+
+
+def _candidates(prefix: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a key where positions leave
+    room for the similarity. A key's largest component is met by the others only."""
+    sizes = prefix.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("size", "comp")).alias("top"))
+    main = stored(main.where("comps > 1").select("key", F.col("top.comp").alias("main")), "main")
+    split = stored(prefix.join(main, "key"), "split")
+    x = split.where("comp <> main").select("key", *[F.col(c).alias(f"{c}_x") for c in ("node", "comp", "a", "left")])
+    y = split.select("key", (F.col("comp") == F.col("main")).alias("in_main"), *[F.col(c).alias(f"{c}_y") for c in ("node", "comp", "a", "left")])
+    room = F.least("left_x", "left_y") * (2 * (100 + PERCENT)) >= F.col("a_x") + F.col("a_y")
+    once = F.col("in_main") | (F.col("node_x") < F.col("node_y"))
+    pairs = x.join(y, (x.key == y.key) & (F.col("comp_x") != F.col("comp_y")) & room & once)
     return stored(pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct(), "pairs")
 
 
-def _complete(docs: DataFrame, tables: DataFrame, links: DataFrame) -> DataFrame:
-    """``links`` with those that join the remaining components."""
-    prefix = _prefixes(docs, tables, components(links))
-    for k in range(ROUNDS):
-        x, y = _sides(prefix)
-        best = F.min_by(F.struct(*[c for c in y.columns if c != "shingle"]), F.xxhash64("node_y", F.lit(k)))
-        one = y.where("in_main").groupBy("shingle").agg(best.alias("r")).select("shingle", "r.*")
-        pairs = _pairs(x, one, F.lit(True))
-        if pairs.isEmpty():
-            return links
-        links = links.union(_verify(docs, pairs))
-        comp = components(links).withColumnRenamed("comp", "_comp")
-        joined = prefix.join(comp, "node", "left")
-        prefix = stored(joined.select("node", F.coalesce("_comp", "comp").alias("comp"), "n", "p", "shingle"), "prefix")
-    x, y = _sides(prefix)
-    pairs = _pairs(x, y, F.col("in_main") | (F.col("node_x") < F.col("node_y")))
-    return links if pairs.isEmpty() else links.union(_verify(docs, pairs))
+def similar(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes (node, u, v), checked on the full shingle sets of
+    the documents; they join all that is similar and shares a table."""
+    members = _tables(nodes)
+    ids = stored(members.select(F.col("a").alias("node")).union(members.select("b")).distinct(), "ids")
+    sets = stored(_texts_of(docs, ids).mapInArrow(_sets, "node long, shingles binary"), "sets")
+    members = _compare(members, sets)
+    links = members.where(_SIMILAR).select("a", "b")
+    pairs = _candidates(_apart(members, sets, components(links)))
+    return links.union(_compare(pairs, sets).where(_SIMILAR).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        return _near_duplicates(docs)
+        return finished(lambda: _near_duplicates(docs), "near-duplicates")
 
 
 def _near_duplicates(docs: DataFrame) -> DataFrame:
@@ -250,9 +255,7 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     )
     nodes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key")
     nodes = stored(nodes.agg(F.min("doc_id").alias("node"), F.first("u").alias("u"), F.first("v").alias("v")), "nodes")
-    tables = _tables(nodes)
-    pairs = tables.where("node <> rep").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
-    links = _complete(docs, tables, _verify(docs, stored(pairs, "pairs")))
+    links = similar(docs, nodes)
     #: rows of one doc_id with several texts: each text's node leads to that document
     same = signed.where("set_key is not null and doc_id is not null").join(nodes.select("set_key", "node"), "set_key")
     several = signed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
