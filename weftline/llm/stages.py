@@ -5,9 +5,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from weftline.llm import bpe, mixing, near_dedup, quality_qda, secrets
-from weftline.storage import stored, table
+from weftline.storage import finished, stored, table
+
+
+def fresh(docs: DataFrame, name: str = "mark") -> str:
+    """A name that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,15 +26,24 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates. Ids to drop are broadcast while
-    they are small, else joined by a shuffle; rows that repeat a doc_id are one."""
+    they are small, else joined by a shuffle; rows that repeat a doc_id are one.
+    Rows without doc_id stay."""
     found = near_dedup.near_duplicates(docs)
-    drop = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("_drop")).distinct(), "drop")
+    mark = fresh(docs)
+    drop = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias(mark)).distinct(), "drop")
     ids = F.broadcast(drop) if drop.count() * 16 <= near_dedup.BROADCAST_BYTES else drop
-    kept = docs.join(ids, F.col("doc_id") == F.col("_drop"), "left_anti")
-    if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
+    kept = docs.join(ids, docs["doc_id"] == ids[mark], "left_anti")
+    several = docs.groupBy(F.col("doc_id").alias(mark)).agg(F.count("*").alias("n")).where("n > 1").select(mark)
+    several = stored(several.where(F.col(mark).isNotNull()), "several")
+    if several.isEmpty():
         return kept
-    once = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionByName(kept.where("doc_id is null"))
+    #: of the rows of one doc_id the first by text, then by the other columns, stays
+    order = [F.col(f"`{c}`") for c in ("text", *docs.columns) if isinstance(docs.schema[c].dataType, AtomicType)]
+    once = kept.join(several, kept["doc_id"] == several[mark], "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = once.groupBy(F.col("doc_id").alias(mark)).agg(F.min_by(row, F.struct(*order)).alias("row"))
+    once = once.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return once.unionByName(kept.join(several, kept["doc_id"] == several[mark], "left_anti"))
 
 
 def redact_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +71,9 @@ STAGES = [
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each one's rows written and read again."""
+    """The stages applied to ``documents``, each one's rows written and read again;
+    what they need on the way is deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = finished(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
