@@ -19,8 +19,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -59,12 +59,25 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Grown:
+    """Integers that numpy can look into while more are added; room doubles when it runs out."""
+
+    def __init__(self, kind: type):
+        self.room, self.size = np.empty(1 << 12, kind), 0
+
+    def add(self, values) -> None:
+        end = self.size + len(values)
+        if end > len(self.room):
+            self.room = np.concatenate([self.room[: self.size], np.empty(2 * end - self.size, self.room.dtype)])
+        self.room[self.size : end] = values
+        self.size = end
+
+
 class Codec:
-    """Vocabulary, merge table and caches of one worker."""
+    """Vocabulary, merge table and caches of one worker; ``vocabulary`` is the JSON text."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, vocabulary: str):
+        spec = json.loads(vocabulary)
         alphabet = byte_alphabet()
         latin = {ord(c): b for c, b in alphabet.items()}
         vocab = {t.translate(latin): i for t, i in spec["model"]["vocab"].items()}
@@ -112,7 +125,7 @@ class Codec:
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
         self.text: list[str] = []
-        self.flat, self.n = array("i"), array("i")
+        self.flat, self.start, self.count = Grown(np.int32), Grown(np.int64), Grown(np.int64)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE leaves the border between tokens a and b unmerged."""
@@ -179,15 +192,21 @@ class Codec:
         #: of the matches that start at a place, the last one found is the longest
         for end, (more, i) in self.longest.iter(text):
             best[end - more] = i
-        start = 0
-        for w, c in zip(new, coded, strict=True):
+        start, encoded = 0, []
+        for c in coded:
             end = start + len(c)
-            ids = self._backtrack(len(c), best[start:end])
-            self.known[w] = len(self.text)
-            self.text.append(",".join(map(str, ids)))
-            self.flat.extend(ids)
-            self.n.append(len(ids))
+            encoded.append(self._backtrack(len(c), best[start:end]))
             start = end + 1
+        self._keep(new, encoded)
+
+    def _keep(self, words: list[str], encoded: list[list[int]]) -> None:
+        """Put encodings of pre-tokens into the cache."""
+        self.known.update(zip(words, range(len(self.text), len(self.text) + len(words)), strict=True))
+        self.text.extend([",".join(map(str, ids)) for ids in encoded])
+        counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        self.start.add(self.flat.size + np.cumsum(counts) - counts)
+        self.count.add(counts)
+        self.flat.add(np.fromiter(chain.from_iterable(encoded), np.int32, int(counts.sum())))
 
     def _parts(self, text: str) -> list[str]:
         #: UTF-8 of the first such code point begins with D5, so most texts are known by their bytes
@@ -209,16 +228,11 @@ class Codec:
         words = [self.pretokens(t) for t in texts]
         known = self.known
         new = set().union(*words).difference(known)
-        for w in [w for w in new if w in self.specials]:
-            known[w] = len(self.text)
-            self.text.append(str(self.specials[w]))
-            self.flat.append(self.specials[w])
-            self.n.append(1)
+        if own := [w for w in new if w in self.specials]:
+            self._keep(own, [[self.specials[w]] for w in own])
         if new := [w for w in new if w not in self.specials]:
             self._learn(new)
-        #: copies, as arrays that numpy looks into can't grow
-        flat, count = np.array(self.flat, np.int32), np.array(self.n, np.int64)
-        start = np.cumsum(count) - count
+        flat, start, count = self.flat.room, self.start.room, self.count.room
         out = []
         for ws in words:
             if not ws:
@@ -243,12 +257,14 @@ class Codec:
 
 
 def codec(path: str) -> Codec:
-    return kept(f"bpe:{path}", lambda: Codec(path))
+    """Codec of a vocabulary file that this process can read."""
+    with open(path, encoding="utf-8") as f:
+        return Codec(f.read())
 
 
-def _encoder(path: str, keep_ids: bool):
+def _encoder(shared, name: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = kept(f"bpe:{name}", lambda: Codec(shared.value))
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             for lo in range(0, batch.num_rows, _ROWS_OUT):
@@ -270,11 +286,14 @@ def _encoder(path: str, keep_ids: bool):
 
 def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None, keep_ids: bool = True) -> DataFrame:
     """Columns ``keep``, n_tokens, ids_sha256, decoded_sha256 and, with keep_ids, ids."""
-    path = vocabulary or tokenizer_path("byte_bpe_50k.json")
+    with open(vocabulary or tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        text = f.read()
+    #: workers get the vocabulary from the driver, so they need no folder in common
+    shared = docs.sparkSession.sparkContext.broadcast(text)
     rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
     schema += "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return rows.mapInArrow(_encoder(path, keep_ids), schema)
+    return rows.mapInArrow(_encoder(shared, hashlib.sha256(text.encode()).hexdigest(), keep_ids), schema)
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:

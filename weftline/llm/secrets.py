@@ -12,13 +12,16 @@ token of MIN_TOKEN or more characters of ``A-Za-z0-9+/_-`` is a candidate:
 - under ordinary text: letter pairs and changes of character class give the
   token's chance in ordinary text, and that over its chance in random text of its
   encoding bounds the p-value (Markov), which falls with the token's length; a
-  Benjamini-Hochberg step over the document's candidates, weighted by length,
+  Benjamini-Hochberg step over the document's candidates, weighted by the log of
+  their length (of all lengths; weights sum to the candidates' number),
   controls false discoveries at FALSE_RATE.
 
 What passes is a span of kind ``random`` unless it overlaps a base span.
 
 Defined results: a null text is empty. Positions are code points, end
 exclusive; spans of equal start are in the order assign, access, hex, random.
+Rows, repeated ones and those without doc_id too, are scanned each on its own;
+other columns don't matter, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -193,8 +196,8 @@ def random_spans(text: Column) -> Column:
 
     def discovered(each: Column) -> Column:
         m = F.size(each)
-        weight = F.aggregate(each, F.lit(0.0), lambda a, e: a + F.least(e["p"]["n"], F.lit(64.0))) / m
-        scaled = F.transform(each, lambda e: F.struct(e["span"].alias("span"), e["p"]["random"].alias("random"), (e["p"]["natural"] * weight / F.least(e["p"]["n"], F.lit(64.0))).alias("q")))
+        weight = F.aggregate(each, F.lit(0.0), lambda a, e: a + F.log(e["p"]["n"])) / m
+        scaled = F.transform(each, lambda e: F.struct(e["span"].alias("span"), e["p"]["random"].alias("random"), (e["p"]["natural"] * weight / F.log(e["p"]["n"])).alias("q")))
         return let(scaled, lambda s: stepped(s, m))
 
     def stepped(scaled: Column, m: Column) -> Column:
