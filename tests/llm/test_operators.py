@@ -176,17 +176,47 @@ def test_bpe_query(edges, empty):
 # Languages.
 
 
-def test_forward_sum_is_all_segmentations():
-    pieces = [b" a", b"a", b"b", b"ab", b" ", b"ba"]
-    prob = np.append(np.array([0.3, 0.2, 0.1, 0.2, 0.1, 0.1]), 0)[:, None]
-    chance = dict(zip(pieces, prob[:, 0], strict=False))
+PIECES = [b" a", b"a", b"b", b"ab", b" ", b"ba", b"abababababab", b" ababababa", b"babababab"]
 
-    def total(s):
-        return 1.0 if not s else sum(chance[p] * total(s[len(p) :]) for p in pieces if s.startswith(p))
 
-    got = langid.log_likelihoods(langid.Pieces(pieces), prob, ["ab", "aba", "bb" * 20])
-    assert np.allclose(np.exp(got[:2, 0]), [total(b" ab"), total(b" aba")])
-    assert np.isclose(got[2, 0], np.log(total(b" ") * 0.1**40))
+def segmentations(raw):
+    """All lists of indices of PIECES that make up the bytes."""
+    return [[]] if not raw else [[i, *rest] for i, p in enumerate(PIECES) if raw.startswith(p) for rest in segmentations(raw[len(p) :])]
+
+
+@pytest.mark.parametrize("alone", [False, True])
+def test_forward_sum_and_expectation_are_over_all_segmentations(monkeypatch, alone):
+    """Pieces of up to 12 bytes, words in groups or each on its own."""
+    monkeypatch.setattr(langid, "LONG_WORD", 0 if alone else 64)
+    rng = np.random.default_rng(1)
+    prob = np.append(rng.dirichlet(np.ones(len(PIECES))), 0)
+    pieces, texts, counts = langid.Pieces(PIECES), ["ab", "aba", "abababababab", "babababababa", "bb", "abbbabab"], np.array([3.0, 1, 2, 5, 1, 7])
+    if alone:
+        monkeypatch.setattr(langid, "_groups", lambda words: ([], list(range(len(words)))))
+    got, want = langid.log_likelihoods(pieces, prob[:, None], texts)[:, 0], np.zeros(len(PIECES) + 1)
+    for text, count, log in zip(texts, counts, got, strict=True):
+        ways = segmentations(b" " + text.encode())
+        chances = np.array([np.prod(prob[w]) for w in ways])
+        assert np.isclose(np.exp(log), chances.sum())
+        for w, c in zip(ways, chances, strict=True):
+            np.add.at(want, w, count * c / chances.sum())
+    assert np.allclose(langid.expected(pieces, prob, texts, counts), want)
+
+
+def test_long_words_are_scored_whole():
+    prob = np.append(np.array([0.3, 0.2, 0.1, 0.2, 0.1, 0.05, 0.02, 0.02, 0.01]), 0)[:, None]
+    pieces = langid.Pieces(PIECES)
+    assert np.isclose(langid.log_likelihoods(pieces, prob, ["b" * 5000])[0, 0], 5001 * np.log(0.1))
+    one = langid.log_likelihoods(pieces, prob, ["ab" * 30])[0, 0]
+    assert np.isclose(one, langid._log_forward(pieces, np.log(np.maximum(prob, 1e-300)), b" " + b"ab" * 30)[0])
+
+
+def test_texts_without_letters_are_und(spark):
+    rows = [(1, "½ ²"), (2, "Ⅷ 12"), (3, "½x"), (4, "日本"), (5, "_ - 1")]
+    assert [langid.pretokens(t) for _, t in rows] == [[], [], ["x"], ["日本"], []]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows] + [(10 + k, "some words here", "en") for k in range(9)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()}
+    assert [got[k] for k in range(1, 6)] == ["und", "und", "en", "en", "und"]
 
 
 def test_langid_held_out_accuracy(spark):
@@ -222,24 +252,57 @@ def test_audio_payload_round_trip(edges, empty):
 
 def test_resampling_keeps_a_tone_and_blocks_agree(monkeypatch):
     tone = np.sin(2 * np.pi * 440 / media.RATE * np.arange(20000)).astype(np.float32)
-    y = media.resample(tone, 0, 10000)
-    want = np.sin(2 * np.pi * 440 / (media.RATE / 2) * np.arange(10000))
-    assert np.abs(y[50:-50] - want[50:-50]).max() < 0.02
-    assert np.allclose(media.resample(tone, 3000, 500), y[3000:3500], atol=1e-6)
+    y = media.resample(tone, 0, 12500)
+    want = np.sin(2 * np.pi * 440 / (media.RATE * media.UP / media.DOWN) * np.arange(12500))
+    assert media.UP > 1 and np.abs(y[50:-50] - want[50:-50]).max() < 0.02
+    assert np.allclose(media.resample(tone, 3001, 503), y[3001:3504], atol=1e-6)
     data = bytes(random.Random(2).randbytes(60000))
     whole = media.log_mel(data)
     monkeypatch.setattr(media, "CHUNK", 50)
     assert np.allclose(media.log_mel(data), whole, atol=1e-4)
 
 
-def test_hysteresis():
-    assert media.segments(np.array([0, 0, 5, 10, 10, 5, 5, 0, 0, 5, 0.0])) == [(3, 7)]
+def test_resampling_and_log_mels_match_plain_loops():
+    """Each output sample as a sum over the windowed sinc at its exact place; each band from a plain Fourier sum."""
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 640, dtype=np.uint8).tobytes()
+    x = (np.frombuffer(data, np.uint8).astype(float) - 128) / 128
+    half, cut = media.TAPS // 2, media.UP / media.DOWN
+    length = -(-len(x) * media.UP // media.DOWN)
+    y = np.zeros(length)
+    for k in range(length):
+        at, weights = k * media.DOWN / media.UP, {}
+        for i in range(int(at) - half + 1, int(at) + half + 1):
+            t = i - at
+            weights[i] = cut * np.sinc(cut * t) * (0.54 + 0.46 * np.cos(np.pi * t / half)) if abs(t) <= half else 0.0
+        y[k] = sum(w * x[i] for i, w in weights.items() if 0 <= i < len(x)) / sum(weights.values())
+    samples = x.astype(np.float32)
+    assert np.allclose(media.resample(samples, 0, length), y, atol=1e-5)
+    mel = media.log_mel(data)
+    frames = max(1, -(-(length - media.WINDOW) // media.HOP) + 1)
+    assert mel.shape == (frames, media.MELS)
+    for f in range(frames):
+        part = np.zeros(media.WINDOW)
+        have = y[f * media.HOP : f * media.HOP + media.WINDOW]
+        part[: len(have)] = have
+        n = np.arange(media.WINDOW)
+        part *= 0.5 - 0.5 * np.cos(2 * np.pi * n / media.WINDOW)
+        power = np.array([abs((part * np.exp(-2j * np.pi * b * n / media.WINDOW)).sum()) ** 2 for b in range(media.WINDOW // 2 + 1)])
+        assert np.allclose(mel[f], np.log(power @ media.mel_bank() + 1e-6), atol=1e-2)
+
+
+def test_tensors_are_stored_and_read_in_the_fixed_shape_type(spark, edges):
+    rows = stages.stored(media.tensor_rows(edges), "tensors")
+    got = media.read_tensors(rows.orderBy("doc_id", "chunk").toArrow())
+    assert got["tensor"].type.shape == [media.FRAMES, media.MELS] and got["tensor"].type.value_type == "float"
+    of = {r.doc_id: r for r in media.audio_features(edges).collect()}
+    for i, k, start, end, tensor in zip(*(got[c].to_pylist() for c in ("doc_id", "chunk", "start", "end", "tensor")), strict=True):
+        span = of[i].chunk_spans[k]
+        assert (span.start, span.end) == (start, end) and np.allclose(np.array(tensor).ravel(), of[i].tensors[k])
 
 
-def test_tensor_type(edges):
-    table = media.audio_features(edges).select("doc_id", "tensors").toArrow()
-    got = media.as_tensors(table)
-    assert got["tensor"].type.shape == [media.FRAMES, media.MELS] and got.num_rows >= len(EDGES)
+def test_hysteresis():
+    assert media.segments(np.array([0, 0, 5, 10, 10, 5, 5, 0, 0, 5, 0.0])) == [(3, 7)]
 
 
 # Quality.
@@ -251,6 +314,26 @@ def test_quality_held_out(spark):
     assert all((r.score >= 0.3) == (r.predicted == 1) for r in got)
 
 
+def test_quality_scores_match_plain_densities(spark, documents, labels):
+    """Both classes' shrunken covariances and normal densities from the rows themselves."""
+    got = {r.doc_id: r.score for r in quality_qda.classify(documents, labels).collect()}
+    q = {r.doc_id: r.quality for r in labels.collect()}
+    held = {r.doc_id: r.h for r in documents.select("doc_id", langid.holdout().alias("h")).collect()}
+    x = {r.doc_id: np.array(quality_qda.statistics(r.text)) for r in documents.collect()}
+    own = [np.stack([x[i] for i in x if not held[i] and q.get(i) == c]) for c in (0, 1)]
+    n, cov = [len(o) for o in own], [np.cov(o.T, bias=True) for o in own]
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / sum(n)
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
+    logs = []
+    for c in (0, 1):
+        s = ((1 - quality_qda.TO_POOLED) * cov[c] + quality_qda.TO_POOLED * pooled) / np.outer(scale, scale)
+        s = (1 - quality_qda.TO_IDENTITY) * s + quality_qda.TO_IDENTITY * max(np.trace(s) / len(s), 1e-3) * np.eye(len(s))
+        apart = {i: (v - own[c].mean(0)) / scale for i, v in x.items()}
+        logs.append({i: -0.5 * a @ np.linalg.inv(s) @ a - 0.5 * np.linalg.slogdet(s)[1] + np.log(n[c]) for i, a in apart.items()})
+    for i in x:
+        assert abs(got[i] - 1 / (1 + np.exp(np.clip(logs[0][i] - logs[1][i], -700, 700)))) < 1e-6
+
+
 def test_quality_edges(spark, edges, empty, labels):
     got = quality_qda.classify(edges, labels).collect()
     assert len(got) == len(EDGES) and all(0 <= r.score <= 1 for r in got)
@@ -286,27 +369,47 @@ def test_viterbi_is_the_best_sequence():
 
 
 def test_crf_gradient():
+    """Against the sum over all label sequences, for chains of 1 to 6 lines."""
     rng = np.random.default_rng(5)
-    x, y, mask = rng.normal(size=(3, 4, 2)), rng.integers(0, 2, (3, 4)).astype(float), np.ones((3, 4), bool)
-    mask[1, 2:] = False
+    lengths = [4, 1, 6, 2]
+    n, first = sum(lengths), np.zeros(sum(lengths), bool)
+    first[np.cumsum([0, *lengths[:-1]])] = True
+    x, y = rng.normal(size=(n, 2)), rng.integers(0, 2, n).astype(float)
 
     def loss(w, stay):
         out = 0.0
-        for d in range(3):
-            n = int(mask[d].sum())
-            score = lambda s: sum(x[d, k] @ w * s[k] for k in range(n)) + stay * sum(s[k] == s[k - 1] for k in range(1, n))  # noqa: B023, E731
-            every = [score([m >> k & 1 for k in range(n)]) for m in range(1 << n)]
-            out += score(y[d, :n]) - np.log(np.exp(every).sum())
-        return out / mask.sum()
+        for lo, size in zip(np.flatnonzero(first), lengths, strict=True):
+            score = lambda s: sum(x[lo + k] @ w * s[k] for k in range(size)) + stay * sum(s[k] == s[k - 1] for k in range(1, size))  # noqa: B023, E731
+            every = [score([m >> k & 1 for k in range(size)]) for m in range(1 << size)]
+            out += score(y[lo : lo + size]) - np.log(np.exp(every).sum())
+        return out / n
 
     w, stay, eps = np.array([0.3, -0.2]), 0.4, 1e-6
-    gw, gs = quality_rules._gradient(w, stay, x, y, mask)
+    gw, gs = quality_rules._gradient(w, stay, x, y, first)
     for k in range(2):
         e = np.eye(2)[k] * eps
         assert abs((loss(w + e, stay) - loss(w - e, stay)) / (2 * eps) - gw[k]) < 1e-5
     assert abs((loss(w, stay + eps) - loss(w, stay - eps)) / (2 * eps) - gs) < 1e-5
 
 
+def test_quality_rules_held_out(spark):
+    """Of the held-out documents that pass the base rules, those of quality 0 go and those of quality 1 stay."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_rules.rules(docs, labels, full=False).join(labels, "doc_id").where(langid.holdout()).where("not base_failed").collect()
+    bad, good = [r.kept for r in rows if r.quality == 0], [r.kept for r in rows if r.quality == 1]
+    assert len(bad) > 40 and sum(bad) / len(bad) < 0.1 and sum(good) / len(good) > 0.97
+
+
+def test_quality_rules_kept_is_composed_of_its_parts(spark, documents, labels, empty):
+    for r, text in ((r, t) for r, (t,) in zip(quality_rules.rules(documents, labels).collect(), documents.select("text").collect(), strict=True)):
+        lines = [x for x in (text or "").split("\n") if words(x)]
+        assert len(r.line_states) == len(lines)
+        ink = [sum(map(len, (w.encode() for w in words(x)))) for x in lines]
+        share = sum(n for n, s in zip(ink, r.line_states, strict=True) if s == "C") / max(sum(ink), 1)
+        assert abs(share - r.content_share) < 1e-9 and r.kept == (not r.base_failed and share >= quality_rules.MIN_CONTENT)
+    assert quality_rules.rules(empty, labels).count() == 0
+
+
 # Secrets.
 
 
@@ -495,6 +598,71 @@ def test_chat(spark):
     assert chat.link(df.where("false")).count() == 0
 
 
+def brute_depths(refs):
+    """Depth of each id by following references; -1 for cycles and what isn't there."""
+    known, now = {}, set()
+
+    def depth(i):
+        if i in now or i not in refs:
+            return -1
+        if i not in known:
+            now.add(i)
+            below = [depth(r) for r in refs[i]]
+            now.discard(i)
+            known[i] = -1 if -1 in below else 1 + max(below, default=-1)
+        return known[i]
+
+    for i in sorted(refs):
+        depth(i)
+    bad = {i for i in refs if known.get(i) == -1}
+    while more := {i for i in refs if i not in bad and any(r in bad or r not in refs for r in refs[i])}:
+        bad |= more
+    return {i: -1 if i in bad else known[i] for i in refs}
+
+
+def test_chat_links_thousands_of_calls(spark):
+    """A chain of 700 calls, a random graph with cycles and missing calls, and messages of several calls, against brute force."""
+    import json
+
+    rng, rows, want, turn = random.Random(12), [], {}, 0
+    for conv in range(4):
+        refs = {}
+        for k in range(700):
+            if conv == 0:
+                refs[f"c{k}"] = [f"c{k - 1}"] if k else []
+            else:
+                refs[f"c{k}"] = sorted({f"c{rng.randrange(max(k, 1) if rng.random() < 0.97 else 740)}" for _ in range(rng.choice([0, 0, 1, 1, 1, 2, 3]))} - ({f"c{k}"} if k else {"c0"}))
+        want[conv] = brute_depths(refs)
+        names = list(refs)
+        while names:
+            n = rng.choice([1, 1, 2, 5])
+            mine, names = names[:n], names[n:]
+            rng.shuffle(mine)
+            turn += 1
+            calls = [{"id": i, "name": "lookup", "arguments": {"key": "k", "after": [{"$ref": r} for r in refs[i]]}} for i in mine]
+            rows.append((conv, turn, "assistant", json.dumps({"content": None, "tool_calls": calls})))
+            for i in mine:
+                if rng.random() < 0.7:
+                    turn += 1
+                    rows.append((conv, turn, "tool", json.dumps({"tool_call_id": i, "content": "ok"})))
+    got = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows) and max(want[0].values()) == 699
+    assert any(-1 in w.values() for w in want.values()) and len({d for w in want.values() for d in w.values()}) > 700
+    answered = {(conv, json.loads(t)["tool_call_id"]) for conv, _, role, t in rows if role == "tool"}
+    source = {(conv, turn): json.loads(t) for conv, turn, _, t in rows}
+    for r in got:
+        said = source[r.conv_id, r.turn]
+        assert json.dumps(json.loads(r.message_json), sort_keys=True, separators=(",", ":")) == r.message_json
+        if r.role == "tool":
+            assert r.linked and r.depth == want[r.conv_id][said["tool_call_id"]]
+            continue
+        place = {c["id"]: k for k, c in enumerate(said["tool_calls"])}
+        depth = {i: want[r.conv_id][i] for i in place}
+        assert [c["id"] for c in json.loads(r.message_json)["tool_calls"]] == sorted(place, key=lambda i: (depth[i] < 0, depth[i], place[i]))
+        assert r.depth == max(depth.values()) and r.n_calls == r.n_valid == len(place)
+        assert r.n_answered == sum((r.conv_id, i) in answered for i in place)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()

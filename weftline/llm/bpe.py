@@ -60,15 +60,15 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Grown:
-    """Integers that numpy can look into while more are added; room doubles when it runs out."""
+    """Numbers, or rows of them, that numpy can look into while more are added; room doubles when it runs out."""
 
-    def __init__(self, kind: type):
-        self.room, self.size = np.empty(1 << 12, kind), 0
+    def __init__(self, kind: type, row: tuple[int, ...] = ()):
+        self.room, self.size = np.empty((1 << 12, *row), kind), 0
 
     def add(self, values) -> None:
         end = self.size + len(values)
         if end > len(self.room):
-            self.room = np.concatenate([self.room[: self.size], np.empty(2 * end - self.size, self.room.dtype)])
+            self.room = np.concatenate([self.room[: self.size], np.empty((2 * end - self.size, *self.room.shape[1:]), self.room.dtype)])
         self.room[self.size : end] = values
         self.size = end
 

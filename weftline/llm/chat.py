@@ -7,8 +7,12 @@ id, name, arguments) or with ``tool_call_id`` (of a tool), or else plain text.
   the call if that doesn't come later. Of calls that share an identifier the
   first counts, by turn and place.
 - A call depends on the calls whose ids its arguments hold as {"$ref": id}. Its
-  depth is one more than the deepest of them, found round by round; calls in a
-  cycle, or that refer to one that isn't there, have depth -1.
+  depth is one more than the deepest of them, so depth is a topological order;
+  a message's calls are written in it (of equal depth, by place). Runs of calls
+  with one reference each are crossed by pointer doubling (a chain of n calls
+  takes log n rounds); those with several are then settled level by level.
+  Calls that refer to one that isn't there, or lead to such a one or into a cycle,
+  have depth -1 and come last.
 - Arguments are valid if the tool is known, required ones are there and each has
   its type (variant schema names, e.g. STRING, BIGINT).
 - Canonical JSON has keys in order, no white space, and arguments as an object.
@@ -17,7 +21,7 @@ Results are one row a message, so no conversation is gathered in one place.
 
 Defined results: null text is null content; JSON that doesn't parse, or has
 another shape, is plain text. Repeated rows keep a row each; a null conv_id
-links with nothing.
+links with nothing. Other columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -81,23 +85,46 @@ def _calls(special: DataFrame) -> DataFrame:
 
 
 def depths(calls: DataFrame) -> DataFrame:
-    """(conv_id, id, depth) of each call id, round by round; -1 where there is none."""
+    """(conv_id, id, depth) of each call id; -1 where there is none."""
+    key = ["conv_id", "id"]
     first = F.min_by(F.struct("refs"), F.struct("turn", "place")).alias("f")
-    nodes = stored(calls.where("id is not null and conv_id is not null").groupBy("conv_id", "id").agg(first).select("conv_id", "id", "f.refs"), "calls")
-    done = nodes.where("size(refs) = 0").select("conv_id", "id", F.lit(0).alias("depth"))
-    rest = nodes.where("size(refs) > 0")
-    level = 0
-    while not rest.isEmpty():
-        level += 1
-        waits = rest.select("conv_id", "id", F.explode("refs").alias("ref"))
-        known = done.select("conv_id", F.col("id").alias("ref"), F.lit(1).alias("known"))
-        ready = waits.join(known, ["conv_id", "ref"], "left").groupBy("conv_id", "id").agg(F.count("*").alias("n"), F.count("known").alias("k"))
-        ready = stored(ready.where("n = k").select("conv_id", "id"), "ready")
-        if ready.isEmpty():
+    nodes = calls.where("id is not null and conv_id is not null").groupBy(*key).agg(first).select(*key, "f.refs")
+    nodes = stored(nodes.select(*key, "refs", F.size("refs").alias("n")), "calls")
+    runs = _runs(nodes)
+    #: what a call rests on: itself if it has no reference or several, else the end of its run
+    rests = stored(nodes.where("n <> 1").select(*key, F.col("id").alias("base"), F.lit(0).cast("long").alias("steps")).union(runs), "rests")
+    edges = nodes.where("n > 1").select("conv_id", "id", "n", F.explode("refs").alias("ref"))
+    edges = edges.join(rests.select("conv_id", F.col("id").alias("ref"), "base", "steps"), ["conv_id", "ref"])
+    waiting = stored(edges.select(*key, "n", "base", "steps"), "waiting")
+    done = stored(nodes.where("n = 0").select("conv_id", F.col("id").alias("base"), F.lit(0).cast("long").alias("depth")), "done")
+    latest = done
+    while not waiting.isEmpty():
+        ready = waiting.join(done, ["conv_id", "base"]).groupBy(*key, "n").agg(F.count("*").alias("known"), F.max(F.col("depth") + F.col("steps") + 1).alias("depth"))
+        latest = stored(ready.where("known = n").select("conv_id", F.col("id").alias("base"), "depth"), "ready")
+        if latest.isEmpty():
             break
-        done = stored(done.union(ready.select("conv_id", "id", F.lit(level).alias("depth"))), "done")
-        rest = stored(rest.join(ready, ["conv_id", "id"], "left_anti"), "waiting")
-    return done.union(rest.select("conv_id", "id", F.lit(-1).alias("depth")))
+        done = stored(done.union(latest), "done")
+        waiting = stored(waiting.join(latest.select("conv_id", F.col("base").alias("id")), key, "left_anti"), "waiting")
+    known = rests.join(done, ["conv_id", "base"]).select(*key, (F.col("depth") + F.col("steps")).cast("int").alias("depth"))
+    return nodes.select(*key).join(known, key, "left").select(*key, F.coalesce("depth", F.lit(-1)).alias("depth"))
+
+
+def _runs(nodes: DataFrame) -> DataFrame:
+    """(conv_id, id, base, steps) of the calls with one reference: the first call
+    with none or several that following references leads to, and how many lead
+    there. Calls that get into a cycle, or to one that isn't there, are left out."""
+    one = nodes.where("n = 1").select("conv_id", "id", F.col("refs")[0].alias("base"), F.lit(1).cast("long").alias("steps"))
+    pointers, rounds = stored(one, "runs"), nodes.count().bit_length()
+    for _ in range(rounds):
+        on = pointers.select("conv_id", F.col("id").alias("base"), F.col("base").alias("next"), F.col("steps").alias("more"))
+        pointers = stored(
+            pointers.join(on, ["conv_id", "base"], "left").select("conv_id", "id", F.coalesce("next", "base").alias("base"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved")), "runs"
+        )
+        moved = pointers.where("moved")
+        pointers = pointers.drop("moved")
+        if moved.isEmpty():
+            break
+    return pointers.join(nodes.where("n <> 1").select("conv_id", F.col("id").alias("base")), ["conv_id", "base"], "left_semi").select("conv_id", "id", "base", "steps")
 
 
 def link(conversations: DataFrame) -> DataFrame:
@@ -120,11 +147,11 @@ def link(conversations: DataFrame) -> DataFrame:
     joined = results.join(ids, ["conv_id", "id"], "left").join(known, ["conv_id", "id"], "left")
     of_result = joined.select(*_KEYS, "id", F.coalesce(F.col("turn") >= F.col("call_turn"), F.lit(False)).alias("linked"), "depth").distinct()
     answered = of_result.where("linked").select("conv_id", "id", F.lit(1).alias("answered")).distinct()
-    each = calls.join(answered, ["conv_id", "id"], "left").join(known, ["conv_id", "id"], "left").distinct()
+    each = calls.join(answered, ["conv_id", "id"], "left").join(known, ["conv_id", "id"], "left").distinct().withColumn("depth", F.coalesce("depth", F.lit(0)))
     item = F.concat(F.lit('{"arguments":'), "json", F.lit(',"id":'), F.coalesce(_json_string(F.col("id")), F.lit("null")), F.lit(',"name":'), F.coalesce(_json_string(F.col("name")), F.lit("null")), F.lit("}"))
     of_call = each.groupBy(*_KEYS).agg(
         F.count("*").alias("n_calls"), F.count_if("valid").alias("n_valid"), F.count("answered").alias("n_answered"),
-        F.max(F.coalesce("depth", F.lit(0))).alias("depth"), F.array_sort(F.collect_list(F.struct("place", item.alias("item")))).alias("items"),
+        F.max(F.coalesce("depth", F.lit(0))).alias("depth"), F.array_sort(F.collect_list(F.struct((F.col("depth") < 0).alias("last"), F.col("depth").alias("after"), "place", item.alias("item")))).alias("items"),
     )
     def same(right: DataFrame):
         """The messages beside what their keys have; the conversation may be null."""

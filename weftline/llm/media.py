@@ -13,12 +13,16 @@ samples read back from that file:
   lower one (both between the text's own 10 and 90 % quantiles).
 
 Log-mels are cut into chunks of FRAMES x MELS (the last one padded with
-zeros), so each is a fixed-shape tensor; ``as_tensors`` gives them Arrow's
-fixed-shape tensor type. Each chunk and segment carries its time span in ms.
+zeros), so each is a fixed-shape tensor: the tasks put them into Arrow's type of
+that name and take the query's digest from there. ``tensor_rows`` is the table to
+store, a row a chunk, and ``read_tensors`` gives what is read back the type again
+without a copy. Each chunk and segment carries its time span in ms.
 Long texts are processed in blocks of CHUNK frames with bounded memory; each
 text is computed by itself, so equal texts give equal values.
 
-Defined results: null and empty texts are 64 zero bytes.
+Defined results: null and empty texts are 64 zero bytes. Repeated rows, and rows
+without doc_id, are rows of their own; other columns don't matter; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 from weftline.storage import table
 
 RATE = 16_000
-UP, DOWN, TAPS = 1, 2, 16
+UP, DOWN, TAPS = 5, 8, 32
 WINDOW, HOP, MELS, FRAMES = 256, 128, 40, 96
 CHUNK = 4096
 _ROWS_OUT = 64
@@ -169,7 +173,7 @@ def _extract(full: bool):
                     sent, n = payload(t.as_py())
                     wav = to_wav(sent)
                     data, tensor, spans, parts = features(wav)
-                    sha = hashlib.sha256(np.ascontiguousarray(tensor).tobytes()).hexdigest()
+                    sha = hashlib.sha256(as_tensors(tensor).storage.flatten().to_numpy()).hexdigest()
                     text = f"{tensor.shape[0]}x{FRAMES}x{MELS}:{sha}:{len(parts)}:{hashlib.sha256(f'{_spans(spans)};{_spans(parts)}'.encode()).hexdigest()}"
                     rows.append((n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(wav), hashlib.sha256(wav).hexdigest(), text))
                     if full:
@@ -192,17 +196,32 @@ def audio_features(docs: DataFrame, text_col: str = "text", full: bool = True) -
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(_extract(full), names)
 
 
-def as_tensors(rows: pa.Table, column: str = "tensors") -> pa.Table:
-    """One row per chunk of an Arrow table of ``audio_features``: doc_id, its number
-    and the chunk in Arrow's fixed-shape tensor type."""
-    lists = rows[column].combine_chunks()
-    n = np.diff(lists.offsets.to_numpy())
-    flat = lists.flatten().flatten().cast(pa.float32())
-    kind = pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS])
+def as_tensors(tensor: np.ndarray) -> pa.FixedShapeTensorArray:
+    """(chunks, FRAMES, MELS) floats as Arrow tensors of FRAMES x MELS."""
+    return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(tensor, np.float32))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            _, tensor, spans, _ = features(to_wav(payload(t.as_py())[0]))
+            flat = as_tensors(tensor).storage.flatten()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(spans) + 1) * FRAMES * MELS, pa.int32()), flat)
+            columns = [pa.array([i] * len(spans), pa.int64()), pa.array(range(len(spans)), pa.int32())]
+            yield pa.record_batch([*columns, *(pa.array([s[k] for s in spans], pa.int64()) for k in (0, 1)), lists], ["doc_id", "chunk", "start", "end", "tensor"])
+
+
+def tensor_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """doc_id, chunk, its span in ms, and its tensor (FRAMES * MELS floats, by rows) of each chunk."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(_chunks, "doc_id long, chunk int, start long, end long, tensor array<float>")
+
+
+def read_tensors(rows: pa.Table) -> pa.Table:
+    """An Arrow table of stored ``tensor_rows`` with ``tensor`` in the fixed-shape tensor type."""
+    flat = rows["tensor"].combine_chunks().flatten()
     storage = pa.FixedSizeListArray.from_arrays(flat, FRAMES * MELS)
-    number = np.concatenate([np.arange(k) for k in n]) if len(n) else np.zeros(0, np.int64)
-    at = pa.array(np.repeat(np.arange(len(n)), n))
-    return pa.table({"doc_id": rows["doc_id"].combine_chunks().take(at), "chunk": pa.array(number), "tensor": pa.ExtensionArray.from_storage(kind, storage)})
+    tensors = pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS]), storage)
+    return rows.set_column(rows.schema.get_field_index("tensor"), "tensor", tensors)
 
 
 def op3_audio(spark, sf_dir: str) -> DataFrame:

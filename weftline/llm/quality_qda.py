@@ -112,23 +112,31 @@ def fit(stats: DataFrame, labels: DataFrame) -> dict:
     cov = [sums[c, 1 + d :].reshape(d, d) / n[c] - np.outer(mean[c], mean[c]) for c in (0, 1)]
     pooled = (n[0] * cov[0] + n[1] * cov[1]) / n.sum()
     scale = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
-    model = {"scale": scale, "mean": mean / scale, "inverse": [], "log_det": [], "prior": float(np.log(n[1] / n[0]))}
+    model = {"scale": scale, "mean": mean / scale, "factor": [], "log_det": [], "prior": float(np.log(n[1] / n[0]))}
     for c in (0, 1):
         s = (1 - TO_POOLED) * cov[c] + TO_POOLED * pooled
         s /= np.outer(scale, scale)
         s = (1 - TO_IDENTITY) * s + TO_IDENTITY * max(np.trace(s) / d, 1e-3) * np.eye(d)
         factor = np.linalg.cholesky(s)
-        model["inverse"].append(np.linalg.inv(factor))
+        model["factor"].append(factor)
         model["log_det"].append(float(2 * np.log(np.diag(factor)).sum()))
     return model
 
 
+def _solved(factor: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Rows z with factor z = x for each row of x, by forward substitution."""
+    z = np.empty_like(x)
+    for k in range(len(factor)):
+        z[:, k] = (x[:, k] - z[:, :k] @ factor[k, :k]) / factor[k, k]
+    return z
+
+
 def scores(model: dict, x: np.ndarray) -> np.ndarray:
     """Posterior of label 1 of each row of statistics."""
     if "constant" in model:
         return np.full(len(x), model["constant"])
     log_density = [
-        -0.5 * ((((x / model["scale"]) - model["mean"][c]) @ model["inverse"][c].T) ** 2).sum(1) - 0.5 * model["log_det"][c] for c in (0, 1)
+        -0.5 * (_solved(model["factor"][c], x / model["scale"] - model["mean"][c]) ** 2).sum(1) - 0.5 * model["log_det"][c] for c in (0, 1)
     ]
     return 1 / (1 + np.exp(-np.clip(log_density[1] - log_density[0] + model["prior"], -700, 700)))
 

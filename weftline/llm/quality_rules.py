@@ -9,10 +9,13 @@ Fitting: maximum likelihood (forward-backward gradients, L2 penalty) over about
 SAMPLE_DOCS labelled documents, drawn by a hash of doc_id from those whose
 crc32(doc_id) mod 5 is not 0. Lines of documents of quality 1 count as content,
 those of quality 0 and legal or navigation phrases as boilerplate. Without both
-labels the weights are DEFAULT.
+labels the weights are DEFAULT. A document's lines are one chain, however many.
 
 Defined results: null, empty and blank texts have counts 0 and fail the base
 rules. Lines without a word belong to no state and don't interrupt a sequence.
+Repeated rows, and rows without doc_id, are judged each on its own (a null id
+takes no part in the fit); other columns don't matter; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -122,29 +125,38 @@ def viterbi(scores: list[float], stay: float) -> list[bool]:
     return out[::-1]
 
 
-def _gradient(w: np.ndarray, stay: float, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, float]:
-    """Gradient of the mean log-likelihood a line. x (docs, lines, features), y and mask (docs, lines)."""
-    d, n, _ = x.shape
-    e = np.stack([np.zeros((d, n)), x @ w], 2)
+def _chained(m: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Products (in logarithms) of each chain's 2 x 2 matrices up to each place, by
+    doubling; a chain begins where ``first`` holds."""
+    m, done, width = m.copy(), first.copy(), 1
+    while not done.all():
+        left, right = m[:-width], m[width:]
+        both = np.logaddexp(left[:, :, 0, None] + right[:, None, 0, :], left[:, :, 1, None] + right[:, None, 1, :])
+        m[width:] = np.where(done[width:, None, None], right, both)
+        done = done | np.concatenate([np.ones(width, bool), done[:-width]])
+        width *= 2
+    return m
+
+
+def _gradient(w: np.ndarray, stay: float, x: np.ndarray, y: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, float]:
+    """Gradient of the mean log-likelihood a line, of the lines of all chains in
+    one row: features, labels, and where a chain begins. Chains have any length."""
+    n = len(x)
+    e = np.stack([np.zeros(n), x @ w], 1)
     t = np.array([[stay, 0.0], [0.0, stay]])
-    lse = lambda a, axis: (m := a.max(axis)) + np.log(np.exp(a - np.expand_dims(m, axis)).sum(axis))
-    alpha, beta = np.zeros((n, d, 2)), np.zeros((n, d, 2))
-    alpha[0] = e[:, 0]
-    for k in range(1, n):
-        step = lse(alpha[k - 1][:, :, None] + t, 1) + e[:, k]
-        alpha[k] = np.where(mask[:, k, None], step, alpha[k - 1])
-    z = lse(alpha[-1], 1)
-    for k in range(n - 2, -1, -1):
-        step = lse(t + (e[:, k + 1] + beta[k + 1])[:, None, :], 2)
-        beta[k] = np.where(mask[:, k + 1, None], step, 0.0)
-    p = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z).T * mask
-    gw = np.einsum("dn,dnk->k", (y - p) * mask, x)
-    both = mask[:, 1:]
-    same = 0.0
-    for s in (0, 1):
-        same = same + np.exp(alpha[:-1, :, s] + stay + e[:, 1:, s].T + beta[1:, :, s] - z).T * both
-    gs = float(((y[:, 1:] == y[:, :-1]) * both).sum() - same.sum())
-    return gw / mask.sum(), gs / mask.sum()
+    alpha = _chained(np.where(first[:, None, None], e[:, None, :], t + e[:, None, :]), first)[:, 0]
+    last = np.append(first[1:], True)
+    #: backwards: the last line's factor is 1, which its first column carries
+    after = np.concatenate([t + e[1:, None, :], np.zeros((1, 2, 2))])
+    after[last] = [[0.0, -1e300], [0.0, -1e300]]
+    beta = _chained(after[::-1].transpose(0, 2, 1), last[::-1])[::-1].transpose(0, 2, 1)[:, :, 0]
+    ends = np.flatnonzero(last)
+    z = np.repeat(np.logaddexp(alpha[ends, 0], alpha[ends, 1]), np.diff(np.concatenate([[-1], ends])))
+    p = np.exp(alpha[:, 1] + beta[:, 1] - z)
+    gw = (y - p) @ x
+    inner = np.flatnonzero(~first)
+    same = sum(np.exp(alpha[inner - 1, s] + stay + e[inner, s] + beta[inner, s] - z[inner]).sum() for s in (0, 1))
+    return gw / n, float((y[inner] == y[inner - 1]).sum() - same) / n
 
 
 def _labelled_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,19 +178,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     sample = train.where(draw < SAMPLE_DOCS / max(total, 1)).withColumnRenamed("doc_id", "_id")
     rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("quality", "text")
     got = rows.mapInArrow(_labelled_lines, "quality int, x array<double>").toPandas()
-    k, width = len(FEATURES), 64
-    parts = [(q, m[i : i + width]) for q, x in zip(got.quality, got.x, strict=True) for m in [np.asarray(x).reshape(-1, k)] for i in range(0, len(m), width)]
-    if len({q for q, _ in parts}) < 2:
+    k = len(FEATURES)
+    chains = [(q, np.asarray(v).reshape(-1, k)) for q, v in zip(got.quality, got.x, strict=True) if len(v)]
+    if len({q for q, _ in chains}) < 2:
         return DEFAULT
-    parts.sort(key=lambda p: (p[0], len(p[1]), p[1].tobytes()))
-    x, y, mask = np.zeros((len(parts), width, k)), np.zeros((len(parts), width)), np.zeros((len(parts), width), bool)
-    for at, (q, m) in enumerate(parts):
-        x[at, : len(m)], mask[at, : len(m)] = m, True
-        y[at, : len(m)] = np.maximum(1 - q, m[:, FEATURES.index("phrase")])
+    chains.sort(key=lambda c: (c[0], len(c[1]), c[1].tobytes()))
+    x = np.concatenate([m for _, m in chains])
+    y = np.concatenate([np.maximum(1 - q, m[:, FEATURES.index("phrase")]) for q, m in chains])
+    begins = np.zeros(len(x), bool)
+    begins[np.cumsum([0, *(len(m) for _, m in chains[:-1])])] = True
     w, stay = np.zeros(k), 0.0
     first, second = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, STEPS + 1):
-        gw, gs = _gradient(w, stay, x, y, mask)
+        gw, gs = _gradient(w, stay, x, y, begins)
         g = np.append(gw - PENALTY * w, gs - PENALTY * stay)
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
