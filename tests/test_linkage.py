@@ -197,10 +197,10 @@ def test_pair_features(spark):
         ("4", "d", "S2", 0, True, None, "", "", None, None, ""),
     ]
     got = {r.s1_id: r for r in scoring.pair_features(spark.createDataFrame(pairs, PAIR)).collect()}
-    assert got["1"].name_exact_norm == got["1"].addr_exact_sql_norm == got["1"].country_match == 1 and got["1"].name_ratio >= 0.99
-    assert got["2"].name_exact_norm == 0 and got["2"].name_ratio < 0.5 and got["2"].country_match == 0 and got["2"].source_s3 == 1
-    assert got["3"].name_ratio > 0.7 and got["3"].name_token_jaccard >= 0.5 and got["3"].digit_overlap == 0 and got["3"].addr_ratio > 0.8
-    assert got["4"].name_ratio == 1 and got["4"].name_len_diff == 0 and got["4"].country_match == 0
+    assert got["1"].name_exact_sql_norm == got["1"].addr_exact_sql_norm == got["1"].ctx_country_match == 1 and got["1"].name_fuzz_ratio >= 0.99
+    assert got["2"].name_exact_sql_norm == 0 and got["2"].name_fuzz_ratio < 0.5 and got["2"].ctx_country_match == 0 and got["2"].ctx_candidate_is_s3 == 1
+    assert got["3"].name_fuzz_ratio > 0.7 and got["3"].name_token_jaccard >= 0.5 and got["3"].addr_numeric_overlap_count == 0 and got["3"].addr_fuzz_ratio > 0.8
+    assert got["4"].name_fuzz_ratio == 1 and got["4"].name_len_diff == 0 and got["4"].ctx_country_match == 0
     assert [c for c in got["1"].asDict() if c in scoring.FEATURES] == scoring.FEATURES and len(scoring.FEATURES) == 24
 
 

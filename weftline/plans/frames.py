@@ -11,15 +11,12 @@ from weftline.functions import expr as X
 from weftline.functions import unicode as U
 from weftline.operators import scoring
 from weftline.plans import relational
+from weftline.storage import stored
 
 
 def _cte(spark, sf_dir: str, name: str):
     """A shared table expression as a DataFrame."""
-    relational.QUERIES["_"] = ((name,), lambda d: f"SELECT * FROM {name}")
-    try:
-        return spark.sql(relational.render("_", X.SPARK, sf_dir))
-    finally:
-        del relational.QUERIES["_"]
+    return spark.sql(relational.render_cte(name, X.SPARK, sf_dir))
 
 
 def _with_nfkd(e):
@@ -128,6 +125,12 @@ def pair_features_24(spark, sf_dir):
     return scoring.pair_features(_cte(spark, sf_dir, "pairs")).select("s1_id", "cand_id", F.col("label").cast("int"), *scoring.FEATURES)
 
 
+def hard_negative_flags(spark, sf_dir):
+    """Flags of the pairs that aren't true and look alike, the similarity of names among them."""
+    flags = ("hard_same_country", "hard_same_name", "hard_same_cp", "hard_similar_name")
+    return scoring.hard_flags(scoring.pair_features(_cte(spark, sf_dir, "pairs"))).select("s1_id", "cand_id", F.col("label").cast("int"), *flags)
+
+
 #: fixed value: most grams of the vectors of name and address
 VOCABULARY = 100_000
 
@@ -160,13 +163,12 @@ def _record_cosine(e, pairs):
 
 def pair_features_6(spark, sf_dir):
     six = _record_cosine(_cte(spark, sf_dir, "e"), scoring.pair_features(_cte(spark, sf_dir, "pairs")))
-    return six.select("s1_id", "cand_id", F.col("label").cast("tinyint").alias("label"), F.col("name_ratio").cast("float").alias("name_levenshtein_ratio"), F.col("name_token_jaccard").cast("float"), F.col("cosine").cast("float").alias("name_address_tfidf_cosine"), F.col("addr_token_jaccard").cast("float").alias("address_token_jaccard"), (F.col("country1") == F.col("country2")).cast("tinyint").alias("country_match"), F.col("name_len_diff").cast("int").alias("name_length_diff"))
+    return six.select("s1_id", "cand_id", F.col("label").cast("tinyint").alias("label"), F.col("name_fuzz_ratio").cast("float").alias("name_levenshtein_ratio"), F.col("name_token_jaccard").cast("float"), F.col("cosine").cast("float").alias("name_address_tfidf_cosine"), F.col("addr_token_jaccard").cast("float").alias("address_token_jaccard"), (F.col("country1") == F.col("country2")).cast("tinyint").alias("country_match"), F.col("name_len_diff").cast("int").alias("name_length_diff"))
 
 
 def train_predict(spark, sf_dir):
     """Probabilities of the held-out pairs by a model of the others."""
-    f = scoring.split_val(scoring.pair_features(_cte(spark, sf_dir, "pairs")))
-    f = f.cache()
+    f = stored(scoring.split_val(scoring.pair_features(_cte(spark, sf_dir, "pairs"))), "features")
     model = scoring.train(f.where("NOT is_val"))
     return scoring.predict(model, f.where("is_val AND in_retrieval")).select("s1_id", "cand_id", F.col("label").cast("int"), "proba")
 
@@ -180,4 +182,4 @@ def _of_all(name: str):
 
 
 QUERIES = {name: _of_all(name) for name in WHOLE}
-QUERIES |= {f.__name__: f for f in (normalize_unicode, transliteration, keys_transliteration, channel_transliteration, retrieve_all_channels, submission_candidates, fuzzy_ratios, pair_features_24, pair_features_6, train_predict)}
+QUERIES |= {f.__name__: f for f in (normalize_unicode, transliteration, keys_transliteration, channel_transliteration, retrieve_all_channels, submission_candidates, fuzzy_ratios, pair_features_24, pair_features_6, hard_negative_flags, train_predict)}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from weftline.functions.expr import DUCK, SPARK
-from weftline.plans import frames, relational
+from weftline.plans import frames, handwritten, relational
 
 
 def _run(name: str):
@@ -24,8 +24,8 @@ def _sql_name(name: str) -> str:
 
 
 def queries() -> dict:
-    return {_sql_name(name): _run(name) for name in relational.QUERIES} | frames.QUERIES
+    return {_sql_name(name): _run(name) for name in relational.QUERIES} | frames.QUERIES | handwritten.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {_sql_name(name): relational.render(name, DUCK) for name in relational.QUERIES}
+    return {_sql_name(name): relational.render(name, DUCK) for name in relational.QUERIES} | handwritten.ORACLE

@@ -45,6 +45,15 @@ def render(name: str, d: X.Spark, sf_dir: str | None = None) -> str:
     return f"WITH {', '.join(parts)} {body(d)}" if parts else body(d)
 
 
+def render_cte(name: str, d: X.Spark, sf_dir: str | None = None) -> str:
+    """A shared table expression as a query of its own."""
+    QUERIES["_"] = ((name,), lambda d: f"SELECT * FROM {name}")
+    try:
+        return render("_", d, sf_dir)
+    finally:
+        del QUERIES["_"]
+
+
 def ascii_(d: X.Spark, *cols: str) -> str:
     return "TRUE" if not d.ascii_only else " AND ".join(f"NOT {d.like(f"coalesce({c}, '')", r'[^\x00-\x7F]')}" for c in cols)
 
@@ -154,7 +163,14 @@ QUERIES["similarity"] = (("sets",), lambda d: f"""SELECT s1_id, cand_id, {r6(X.j
   {d.size(d.both('ds1', 'ds2'))} AS digit_overlap, {r6(X.jaccard(d, 'ds1', 'ds2'), 'digit_jaccard')} FROM sets WHERE {ascii_(d, 'name1', 'name2', 'addr1', 'addr2')}""")
 QUERIES["char_ngrams"] = (("s1",), lambda d: f"SELECT entity_id, gram FROM (SELECT entity_id, {X.ngrams(d, X.basic(d, 'business_name'), 3)} AS gs_ FROM s1 WHERE {ascii_(d, 'business_name')}) t {d.unnest('gs_', 'gram')}")
 QUERIES["percentiles"] = (("per",), lambda d: f"SELECT {', '.join(r6(d.quantile('n', q), f'p{int(q * 100)}') for q in (0.25, 0.5, 0.9, 0.95, 0.99))} FROM per")
-QUERIES["order_quartiles"] = (("per",), lambda d: f"SELECT {big('max(CASE WHEN r = n_all // 4 THEN n END)' if isinstance(d, X.Duck) else 'max(CASE WHEN r = n_all DIV 4 THEN n END)', 'q1')}, {big('max(CASE WHEN r = n_all // 2 THEN n END)' if isinstance(d, X.Duck) else 'max(CASE WHEN r = n_all DIV 2 THEN n END)', 'q2')}, {big('max(CASE WHEN r = 3 * n_all // 4 THEN n END)' if isinstance(d, X.Duck) else 'max(CASE WHEN r = (3 * n_all) DIV 4 THEN n END)', 'q3')} FROM (SELECT n, row_number() OVER (ORDER BY n) - 1 AS r, count(*) OVER () AS n_all FROM per) t")
+def _quartile(d, k: int) -> str:
+    """The value at place k * n / 4 in order: the first whose running count is above that place."""
+    place = f"({k} * n_all) {'//' if isinstance(d, X.Duck) else 'DIV'} 4"
+    return big(f"min(CASE WHEN upto > {place} THEN n END)", f"q{k}")
+
+
+#: running counts over the different values, so no task sorts all records
+QUERIES["order_quartiles"] = (("per",), lambda d: f"SELECT {', '.join(_quartile(d, k) for k in (1, 2, 3))} FROM (SELECT n, sum(c) OVER (ORDER BY n) AS upto, sum(c) OVER () AS n_all FROM (SELECT n, count(*) AS c FROM per GROUP BY n) v) t")
 cte("grams", "e")(lambda d: f"SELECT entity_id, src, gram, count(*) AS tf FROM (SELECT entity_id, src, {X.ngrams_ordered(d, f"concat(' ', {X.basic(d, 'business_name')}, ' ')", 3)} AS gr FROM e WHERE {ascii_(d, 'business_name')}) t {d.unnest('gr', 'gram')} GROUP BY entity_id, src, gram")
 cte("idf", "grams")(lambda d: "SELECT gram, ln((1 + (SELECT count(DISTINCT entity_id) FROM grams)) / CAST((1 + count(*)) AS DOUBLE)) + 1 AS idf FROM grams GROUP BY gram")
 cte("w0", "grams", "idf")(lambda d: "SELECT entity_id, src, grams.gram, (1 + ln(tf)) * idf AS w FROM grams JOIN idf ON grams.gram = idf.gram")
@@ -175,7 +191,9 @@ for _name, _fn, _src in (
     ("keys_submission", lambda d: X.submission_keys(d, "business_name", "business_address", "country"), "p"),
     ("keys_family_ascii", lambda d: X.family_keys(d, "business_name", "business_address", "country"), "p"),
 ):
-    QUERIES[_name] = ((_src,), lambda d, f=_fn, s=_src: f"SELECT entity_id, key FROM (SELECT entity_id, {f(d)} AS ks FROM {s} WHERE {ascii_(d, 'business_name', 'business_address')}) t {d.unnest('ks', 'key')}")
+    #: forms that start with decomposition are of ASCII text here
+    _which = "TRUE" if _name in ("keys_baseline", "keys_prefix_3_8") else None
+    QUERIES[_name] = ((_src,), lambda d, f=_fn, s=_src, w=_which: f"SELECT entity_id, key FROM (SELECT entity_id, {f(d)} AS ks FROM {s} WHERE {w or ascii_(d, 'business_name', 'business_address')}) t {d.unnest('ks', 'key')}")
 QUERIES["structured_digits"] = (("p",), lambda d: f"SELECT entity_id, run FROM (SELECT entity_id, {X.structured_digits(d, 'business_address')} AS rs FROM p) t {d.unnest('rs', 'run')}")
 QUERIES["keys_family_documents_ascii"] = (("e",), lambda d: f"SELECT entity_id, key FROM (SELECT entity_id, {X.family_keys(d, 'business_name', 'business_address', 'country')} AS ks FROM e WHERE {ascii_(d, 'business_name', 'business_address')}) t {d.unnest('ks', 'key')}")
 QUERIES["legal_forms"] = (("supplier",), lambda d: "SELECT s_suppkey, " + ", ".join(f"{d.like("lower(concat(s_name, ' Co. ', CASE WHEN s_suppkey % 2 = 0 THEN 'Pvt Ltd' ELSE 'Inc' END))", p)} AS f{k}" for k, p in enumerate(X.LEGAL_FORMS)) + " FROM supplier")
