@@ -310,6 +310,28 @@ def test_all_rows_hold_those_of_ascii_text(spark, name):
     assert part <= whole and whole.total() > part.total()
 
 
+def test_products_of_sparse_vectors():
+    import random
+
+    import pyarrow as pa
+
+    from weftline.functions.vectors import dots
+
+    rng = random.Random(2)
+    side = [[dict((k, rng.random()) for k in rng.sample(range(10**12), 9) + rng.sample(range(20), rng.randrange(12))) for _ in range(50)] + [{}] for _ in range(2)]
+    arrays = [pa.array([list(f(v)) for v in s], t) for s in side for f, t in ((dict.keys, pa.list_(pa.int64())), (dict.values, pa.list_(pa.float64())))]
+    want = [sum(x * b[k] for k, x in a.items() if k in b) for a, b in zip(*side, strict=True)]
+    assert all(math.isclose(x, y, abs_tol=1e-12) for x, y in zip(dots(*arrays), want, strict=True)) and any(want)
+
+
+@pytest.mark.parametrize("name", ["tfidf_cosine", "bucket_knn"])
+def test_gathered_vectors_give_the_joined_cosines(spark, name):
+    one, other = registry.queries()[name](spark, SF), frames._whole(spark, SF, name)
+    key = lambda df: {(r.s1_id, r.cand_id): r.cosine for r in df.collect()}
+    one, other = key(one), key(other)
+    assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 2e-6 for k in one)
+
+
 def all_channel_pairs(rows):
     """Of records with at most a few candidates: pairs that any channel finds."""
     lower = lambda x: " ".join("".join(c if unicodedata.category(c)[0] in "LN" or c in "_&" else " " for c in (x or "").lower()).split())

@@ -87,6 +87,8 @@ def common_subsequence(a: str, b: str) -> int:
 
 def ratio(a: str, b: str) -> float:
     """Share of the characters in common, in order: 1 for two empty texts, 0 for one."""
+    if a == b:
+        return 1.0
     return 2 * common_subsequence(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
@@ -110,11 +112,22 @@ def partial(a: str, b: str) -> float:
     a, b = sorted((a, b), key=len)
     if not a:
         return float(not b)
-    n = len(a)
-    windows = {(max(0, k), min(len(b), k + n)) for k in range(1 - n, len(b))}
-    best = max(ratio(a, b[i:j]) for i, j in windows)
+    best = _best_window(a, b, 0.0)
     #: neither of two equally long texts is the shorter
-    return max(best, *(ratio(b, a[i:j]) for i, j in windows)) if len(b) == n else best
+    return _best_window(b, a, best) if len(b) == len(a) else best
+
+
+def _best_window(a: str, b: str, best: float) -> float:
+    """``best`` or a better ratio of a with a window of b. No window has more in
+    common with a than all of b has, so those that can't be better are left out."""
+    n, most = len(a), common_subsequence(a, b)
+    windows = {(max(0, k), min(len(b), k + n)) for k in range(1 - n, len(b))}
+    for i, j in sorted(windows, key=lambda w: (w[0] - w[1], w[0])):
+        if 2 * min(most, j - i) > best * (n + j - i):
+            best = max(best, ratio(a, b[i:j]))
+            if best == 1:
+                break
+    return best
 
 
 def weighted(a: str, b: str) -> float:

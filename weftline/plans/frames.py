@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import expr as X
 from weftline.functions import unicode as U
+from weftline.functions.vectors import with_dots
 from weftline.operators import scoring
 from weftline.plans import relational
 from weftline.storage import stored
@@ -24,15 +25,16 @@ def _with_nfkd(e):
     return e.withColumns({X.Whole.columns[c]: U.nfkd(F.col(c)) for c in X.Whole.columns})
 
 
-def _whole(spark, sf_dir: str, name: str, e=None):
-    """A relational query of ASCII text, over all records: ``e`` or those of the tables."""
+def _whole(spark, sf_dir: str, name: str, e=None, d=X.SPARK):
+    """A relational query of ASCII text, over all records: ``e`` or those of the
+    tables; or a shared table expression, rendered by ``d``."""
     view = f"records_{uuid.uuid4().hex}"
     _with_nfkd(_cte(spark, sf_dir, "e") if e is None else e).createOrReplaceTempView(view)
     kept = relational.CTES["e"]
     relational.CTES["e"] = ((), lambda d: f"SELECT * FROM {view}")
     try:
         if name in relational.CTES:
-            return _cte(spark, sf_dir, name)
+            return spark.sql(relational.render_cte(name, d, sf_dir))
         return spark.sql(relational.render(name, X.WHOLE, sf_dir))
     finally:
         relational.CTES["e"] = kept
@@ -161,6 +163,32 @@ def _record_cosine(e, pairs):
     return both.withColumn("cosine", U.dot("g1", "w1", "g2", "w2")).drop("g1", "w1", "g2", "w2")
 
 
+def _name_cosines(spark, sf_dir):
+    """Candidates whose names share a gram, with their TF-IDF cosine. Weights are
+    gathered once a record, so each pair is one row and not one a gram."""
+    grams = stored(_whole(spark, sf_dir, "grams", d=X.WHOLE).select("entity_id", "gram", "tf"), "grams")
+    n = grams.agg(F.count_distinct("entity_id")).first()[0]
+    idf = grams.groupBy("gram").agg((F.log((1 + F.lit(n)) / (1 + F.count("*")).cast("double")) + 1).alias("idf"))
+    idf = stored(idf.withColumn("number", F.monotonically_increasing_id()), "idf")
+    weighted = grams.join(idf, "gram").select("entity_id", "number", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    both = weighted.groupBy("entity_id").agg(F.collect_list(F.struct("number", "w")).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    v = stored(both.select("entity_id", F.col("v.number").alias("g"), F.transform("v.w", lambda x: x / F.col("norm")).alias("w")), "vectors")
+    side = lambda k, c: v.select(F.col("entity_id").alias(c), F.col("g").alias(f"g{k}"), F.col("w").alias(f"w{k}"))
+    pairs = _cte(spark, sf_dir, "cand").select("s1_id", "cand_id").join(side(1, "s1_id"), "s1_id").join(side(2, "cand_id"), "cand_id")
+    return with_dots(pairs, ("g1", "g2"), ("w1", "w2"), "cosine").where("cosine > 0")
+
+
+def tfidf_cosine(spark, sf_dir):
+    return _name_cosines(spark, sf_dir).withColumn("cosine", F.round("cosine", 6))
+
+
+def bucket_knn(spark, sf_dir):
+    """The five nearest candidates of each record."""
+    best = Window.partitionBy("s1_id").orderBy(F.desc(F.round("cosine", 9)), "cand_id")
+    near = _name_cosines(spark, sf_dir).withColumn("r", F.row_number().over(best)).where("r <= 5")
+    return near.select("s1_id", "cand_id", F.round("cosine", 6).alias("cosine"))
+
+
 def pair_features_6(spark, sf_dir):
     six = _record_cosine(_cte(spark, sf_dir, "e"), scoring.pair_features(_cte(spark, sf_dir, "pairs")))
     return six.select("s1_id", "cand_id", F.col("label").cast("tinyint").alias("label"), F.col("name_fuzz_ratio").cast("float").alias("name_levenshtein_ratio"), F.col("name_token_jaccard").cast("float"), F.col("cosine").cast("float").alias("name_address_tfidf_cosine"), F.col("addr_token_jaccard").cast("float").alias("address_token_jaccard"), (F.col("country1") == F.col("country2")).cast("tinyint").alias("country_match"), F.col("name_len_diff").cast("int").alias("name_length_diff"))
@@ -182,4 +210,4 @@ def _of_all(name: str):
 
 
 QUERIES = {name: _of_all(name) for name in WHOLE}
-QUERIES |= {f.__name__: f for f in (normalize_unicode, transliteration, keys_transliteration, channel_transliteration, retrieve_all_channels, submission_candidates, fuzzy_ratios, pair_features_24, pair_features_6, hard_negative_flags, train_predict)}
+QUERIES |= {f.__name__: f for f in (normalize_unicode, transliteration, keys_transliteration, channel_transliteration, retrieve_all_channels, submission_candidates, fuzzy_ratios, pair_features_24, pair_features_6, tfidf_cosine, bucket_knn, hard_negative_flags, train_predict)}
