@@ -572,6 +572,34 @@ def test_urls(spark):
     assert urls.judge(df.where("false"), spark.createDataFrame(outcomes, "page_id long, good int")).count() == 0
 
 
+def test_host_domain_and_suffix_each_decide(spark):
+    """Planted outcomes: a bad host of a fair domain, a new host of a bad domain, a new domain of a bad suffix, and new ones elsewhere."""
+    pages, outcomes = [], []
+
+    def add(host, n, good):
+        for k in range(n):
+            pages.append((len(pages), f"https://{host}/x{k}"))
+            outcomes.append((len(outcomes), None if good is None else int(k < good)))
+
+    add("bad.fair.io", 40, 0)
+    add("good.fair.io", 40, 40)
+    for k in range(6):
+        add(f"h{k}.rotten.io", 30, 0)
+        add(f"h{k}.fine.io", 30, 30)
+        add(f"w.spam{k}.top", 40, 1)
+        add(f"w.site{k}.net", 40, 39)
+        add(f"w.firm{k}.co.uk", 40, 40)
+    for host in ("new.rotten.io", "new.fine.io", "new.unseen.top", "new.unseen.net", "new.unseen.co.uk", "mixed.fair.io"):
+        add(host, 1, None)
+    page, outcome = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, good int")
+    rows = urls.judge(page, outcome).collect()
+    got = {r.host: r.verdict for r in rows}
+    assert len(rows) == len(pages) and got["bad.fair.io"] == "block" and got["good.fair.io"] == "allow"
+    assert got["new.rotten.io"] == "block" and got["new.fine.io"] == "allow"
+    assert got["new.unseen.top"] == "block" and got["new.unseen.net"] == got["new.unseen.co.uk"] == "allow"
+    assert {r.verdict for r in urls.judge(page, outcome.where("false")).collect()} == {"allow"}
+
+
 CHAT = [
     (1, 1, "assistant", '{"tool_calls":[{"id":"a","name":"search","arguments":{"query":"x","limit":3}},{"id":"b","name":"weather","arguments":"{\\"days\\":2.5,\\"city\\":\\"Y\\"}"}]}'),
     (1, 2, "tool", '{"tool_call_id":"a","content":"ok"}'),

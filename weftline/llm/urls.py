@@ -10,12 +10,15 @@ good pages (normal approximation at Z) is below MIN_GOOD, so a host without
 labels, or with few, is only blocked on the strength of its domain or suffix.
 
 Outcomes are a table (page_id, good); the query takes ``labels.quality`` where
-its id is the page's, the only labels there are.
+its id is the page's, the only labels there are. Hosts' counts are stored once;
+their bounds are broadcast while their number is below BROADCAST_HOSTS and
+joined by a shuffle, which splits frequent hosts, beyond it.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
 no rule, and the verdict of all pages that have no host. Repeated rows count
-each time; an outcome other than 0 or 1 isn't used. Letters other than A-Z
-aren't lower-cased.
+each time; an outcome other than 0 or 1, or of no page_id, isn't used. Letters
+other than A-Z aren't lower-cased. Other columns don't matter; an empty table
+gives no rows, and without outcomes no page is blocked but by a rule.
 """
 
 from __future__ import annotations
@@ -23,16 +26,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.storage import table
+from weftline.storage import finished, stored, table
 
 #: (host, path prefix, verdict)
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 MIN_GOOD = 0.5
 Z = 1.645
 STRENGTHS = (1.0, 1000.0)
+BROADCAST_HOSTS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Suffixes of two labels; any other suffix is the last label.
-TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.in", "co.nz", "com.cn", "com.mx")
+#: Public suffixes of two labels (a parameter of ``judge``); any other suffix is the last label.
+TWO_LABELS = tuple(
+    "ac.uk co.uk gov.uk ltd.uk me.uk net.uk org.uk plc.uk com.au edu.au gov.au id.au net.au org.au com.br gov.br net.br org.br com.cn edu.cn gov.cn net.cn org.cn "
+    "ac.in co.in firm.in gen.in gov.in net.in org.in ac.jp co.jp go.jp ne.jp or.jp ac.kr co.kr go.kr or.kr com.mx gob.mx org.mx ac.nz co.nz govt.nz net.nz org.nz "
+    "com.sg edu.sg gov.sg com.tr edu.tr gov.tr org.tr com.tw edu.tw gov.tw org.tw ac.za co.za gov.za org.za co.il ac.il org.il com.ar gob.ar com.hk edu.hk com.my com.ph com.vn co.id or.id co.th in.th".split()
+)
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -52,11 +60,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def domain_of(host: Column) -> tuple[Column, Column]:
+def domain_of(host: Column, two_labels=TWO_LABELS) -> tuple[Column, Column]:
     """Registered domain (suffix and a label before it, if any) and suffix."""
     labels = F.split(host, r"\.")
     last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), F.lit(n)), ".")
-    two = last(2).isin(*TWO_LABELS)
+    two = last(2).isin(*two_labels)
     return F.when(two, last(3)).otherwise(last(2)), F.when(two, last(2)).otherwise(last(1))
 
 
@@ -75,15 +83,16 @@ def _strength(groups: DataFrame, name: str) -> DataFrame:
     return sums.select(k.alias(name))
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
+def reputation(pages: DataFrame, outcomes: DataFrame, two_labels=TWO_LABELS) -> DataFrame:
     """(host, upper): the bound of each host of ``pages`` (page_id, host)."""
     good = outcomes.where("good in (0, 1)").select(F.col("page_id").alias("_id"), F.col("good").cast("long").alias("good"))
-    seen = pages.join(good, F.col("page_id") == F.col("_id"), "left")
-    hosts = seen.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    domain, suffix = domain_of(F.col("host"))
-    hosts = hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "good")
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("good").alias("dgood"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dgood").alias("sgood"))
+    #: only pages with an outcome are joined, so rows without page_id don't meet in one task
+    seen = pages.where("page_id is not null").join(good, F.col("page_id") == F.col("_id")).groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
+    hosts = pages.select("host").distinct().join(seen, "host", "left").na.fill(0, ["n", "good"])
+    domain, suffix = domain_of(F.col("host"), two_labels)
+    hosts = stored(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "good"), "hosts")
+    domains = stored(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("good").alias("dgood")), "domains")
+    suffixes = stored(domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dgood").alias("sgood")), "suffixes")
     whole = suffixes.agg(F.coalesce(F.sum("sn"), F.lit(0)).alias("tn"), F.coalesce(F.sum("sgood"), F.lit(0)).alias("tgood"))
     ks = [
         _strength(hosts.where("n > 0").select("n", "good"), "kh"),
@@ -102,13 +111,18 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     return chain.select(F.col("host"), (mean + Z * F.sqrt(mean * (1 - mean) / (weight + 1))).alias("upper"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, two_labels=TWO_LABELS) -> DataFrame:
     """page_id, host, path, rule, verdict of each page."""
+    return finished(lambda: _judge(pages, outcomes, rules, two_labels), "verdicts")
+
+
+def _judge(pages: DataFrame, outcomes: DataFrame, rules, two_labels) -> DataFrame:
     host, path = parts(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    known = reputation(split, outcomes)
-    out = split.join(known.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left")
+    known = stored(reputation(split, outcomes, two_labels).withColumnRenamed("host", "_host"), "bounds")
+    known = F.broadcast(known) if known.count() <= BROADCAST_HOSTS else known
+    out = split.join(known, F.col("host") == F.col("_host"), "left")
     own = F.when(F.col("upper") < MIN_GOOD, "block").otherwise("allow")
     return out.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, own).alias("verdict"))
 
