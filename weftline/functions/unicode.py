@@ -12,27 +12,42 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Latin of the letters and signs of Devanagari, by offset in its block; Gujarati has the same order 0x180 higher.
-_INDIC = dict(zip(range(0x05, 0x0B), ("a", "aa", "i", "ee", "u", "oo"), strict=True)) | {0x0F: "e", 0x10: "ai", 0x13: "o", 0x14: "au"}
-_INDIC |= dict(zip(range(0x15, 0x29), "k kh g gh ng ch chh j jh ny t th d dh n t th d dh n".split(), strict=True))
-_INDIC |= {0x2A: "p", 0x2B: "ph", 0x2C: "b", 0x2D: "bh", 0x2E: "m", 0x2F: "y", 0x30: "r", 0x32: "l", 0x35: "v", 0x36: "sh", 0x38: "s", 0x39: "h"}
-_INDIC |= {0x3E: "a", 0x3F: "i", 0x40: "ee", 0x41: "u", 0x42: "oo", 0x47: "e", 0x48: "ai", 0x4B: "o", 0x4C: "au", 0x02: "n", 0x03: "h", 0x4D: ""}
-_DEVANAGARI_ONLY = {0x37: "sh", 0x33: "l"} | {0x66 + k: str(k) for k in range(10)}
-#: Latin of Tamil letters and signs.
-_TAMIL = dict(zip("அஆஇஈஉஊஎஏஐஒஓஔ", "a aa i ee u oo e ee ai o oo au".split(), strict=True))
-_TAMIL |= dict(zip("கஙசஜஞடணதநபமயரலவழளறன", "k ng s j ny t n th n p m y r l v zh l r n".split(), strict=True))
-_TAMIL |= {chr(c): v for c, v in zip((0xBBE, 0xBBF, 0xBC0, 0xBC1, 0xBC2, 0xBC6, 0xBC7, 0xBC8, 0xBCA, 0xBCB, 0xBCC), "aa i ee u oo e ee ai o oo au".split(), strict=True)}
-LATIN = {chr(0x900 + k): v for k, v in (_INDIC | _DEVANAGARI_ONLY).items()} | {chr(0xA80 + k): v for k, v in _INDIC.items()} | _TAMIL
+#: Latin of Devanagari, Gujarati and Tamil letters, signs and digits, in the order of their code points.
+DEVANAGARI = {
+    "ं": "n", "ः": "h", "अ": "a", "आ": "aa", "इ": "i", "ई": "ee", "उ": "u", "ऊ": "oo", "ए": "e", "ऐ": "ai",
+    "ओ": "o", "औ": "au", "क": "k", "ख": "kh", "ग": "g", "घ": "gh", "ङ": "ng", "च": "ch", "छ": "chh", "ज": "j",
+    "झ": "jh", "ञ": "ny", "ट": "t", "ठ": "th", "ड": "d", "ढ": "dh", "ण": "n", "त": "t", "थ": "th", "द": "d",
+    "ध": "dh", "न": "n", "प": "p", "फ": "ph", "ब": "b", "भ": "bh", "म": "m", "य": "y", "र": "r", "ल": "l",
+    "ळ": "l", "व": "v", "श": "sh", "ष": "sh", "स": "s", "ह": "h", "ा": "a", "ि": "i", "ी": "ee", "ु": "u",
+    "ू": "oo", "े": "e", "ै": "ai", "ो": "o", "ौ": "au", "्": "", "०": "0", "१": "1", "२": "2", "३": "3",
+    "४": "4", "५": "5", "६": "6", "७": "7", "८": "8", "९": "9",
+}
+GUJARATI = {
+    "ં": "n", "ઃ": "h", "અ": "a", "આ": "aa", "ઇ": "i", "ઈ": "ee", "ઉ": "u", "ઊ": "oo", "એ": "e", "ઐ": "ai",
+    "ઓ": "o", "ઔ": "au", "ક": "k", "ખ": "kh", "ગ": "g", "ઘ": "gh", "ઙ": "ng", "ચ": "ch", "છ": "chh", "જ": "j",
+    "ઝ": "jh", "ઞ": "ny", "ટ": "t", "ઠ": "th", "ડ": "d", "ઢ": "dh", "ણ": "n", "ત": "t", "થ": "th", "દ": "d",
+    "ધ": "dh", "ન": "n", "પ": "p", "ફ": "ph", "બ": "b", "ભ": "bh", "મ": "m", "ય": "y", "ર": "r", "લ": "l",
+    "વ": "v", "શ": "sh", "સ": "s", "હ": "h", "ા": "a", "િ": "i", "ી": "ee", "ુ": "u", "ૂ": "oo", "ે": "e",
+    "ૈ": "ai", "ો": "o", "ૌ": "au", "્": "",
+}
+TAMIL = {
+    "அ": "a", "ஆ": "aa", "இ": "i", "ஈ": "ee", "உ": "u", "ஊ": "oo", "எ": "e", "ஏ": "ee", "ஐ": "ai", "ஒ": "o",
+    "ஓ": "oo", "ஔ": "au", "க": "k", "ங": "ng", "ச": "s", "ஜ": "j", "ஞ": "ny", "ட": "t", "ண": "n", "த": "th",
+    "ந": "n", "ன": "n", "ப": "p", "ம": "m", "ய": "y", "ர": "r", "ற": "r", "ல": "l", "ள": "l", "ழ": "zh",
+    "வ": "v", "ா": "aa", "ி": "i", "ீ": "ee", "ு": "u", "ூ": "oo", "ெ": "e", "ே": "ee", "ை": "ai", "ொ": "o",
+    "ோ": "oo", "ௌ": "au",
+}
+LATIN = DEVANAGARI | GUJARATI | TAMIL
 
 
 def to_latin(text: str | None) -> str:
-    """Each character by the tables, else by the first of its decomposition if that is ASCII, else dropped."""
+    """Each character by the tables, else by the first of its decomposition in lower case if that is ASCII, else dropped."""
     out = []
     for c in text or "":
         if (known := LATIN.get(c)) is not None:
             out.append(known)
         elif (first := unicodedata.normalize("NFKD", c)[:1]).isascii():
-            out.append(first)
+            out.append(first.lower())
     return "".join(out)
 
 
