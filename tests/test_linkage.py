@@ -289,7 +289,7 @@ def char_ngram_pairs(rows):
 
 
 def test_char_ngram_channel_of_all_records(spark, records):
-    got = {(r.s1_id, r.cand_id): r.score for r in frames._whole(spark, SF, "channel_char_ngram", records).collect()}
+    got = {(r.s1_id, r.cand_id): r.score for r in frames._gram_hits(records).collect()}
     assert got == char_ngram_pairs(RECORDS) and {("S1-1", "S2-1"), ("S1-2", "S2-2")} <= set(got)
 
 
@@ -366,6 +366,30 @@ def test_all_four_channels(spark, records):
     assert {("S1-3", "S3-2"), ("S1-2", "S3-2")} <= set(got)
 
 
+def test_family_keys_of_all_records(spark):
+    rows = [
+        ("S1-1", "S1", "\u092d\u093e\u0930\u0924 \u092c\u0948\u0902\u0915", "12-345 MG Road 560001", "India"),
+        ("S2-1", "S2", "Caf\u00e9 BMW Ltd", None, "FR"),
+        ("S3-1", "S3", None, "\u0967\u0968\u0969\u096a\u096b", "IN"),
+        ("S3-2", "S3", "Acme Widgets", "", None),
+        ("S3-3", "S3", "", "", ""),
+    ]
+    got = {}
+    for i, key in frames._family_keys(spark.createDataFrame(rows, VIEW)).collect():
+        got.setdefault(i, []).append(key)
+    assert all(len(k) == len(set(k)) for k in got.values())
+    want = {
+        "S1-1": "India|sn:\u0930\u0924 India|np:bhar India|tl:bhar India|np:bain India|tl:bain India|pin:560001 India|dg:345 India|dg:560001 India|dg:12345",
+        "S2-1": "FR|np:caf\u00e9 FR|np:cafe FR|tl:cafe FR|sn:bmw FR|ng:caf FR|ng:af\u00e9 FR|ng:lim",
+        "S3-1": "IN|pin:\u0967\u0968\u0969\u096a\u096b IN|dg:\u0967\u0968\u0969\u096a\u096b",
+        "S3-2": "|np:acme |np:widg |ng:acm |ng:cme |ng:wid",
+        "S3-3": "|fb:_",
+    }
+    # a gram that is left out, and a legal form that is a stop word, give no key
+    want["S2-1"] = want["S2-1"].replace(" FR|ng:lim", "")
+    assert {i: set(k) for i, k in got.items()} == {i: set(k.split()) for i, k in want.items()}
+
+
 def test_submission_cap_follows_key_order(spark):
     """The reference stops after the cap in the order of keys, then postings."""
     rows = [("S1-1", "S1", "Acme Widgets", "100 Oak", "US")]

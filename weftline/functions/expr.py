@@ -163,7 +163,8 @@ class Duck(Spark):
 
 
 class Whole(Spark):
-    """Spark SQL over records that have their decomposed text as columns."""
+    """Spark SQL over records of any script, with their decomposed text as columns;
+    white space, digits and word boundaries are those of Unicode."""
 
     ascii_only = False
     columns = {"business_name": "name_nfkd", "business_address": "address_nfkd"}
@@ -172,7 +173,13 @@ class Whole(Spark):
         return self.columns.get(x, x)
 
     def rep(self, x: str, p: str, r: str) -> str:
-        return super().rep(x, r"(?U)\s+" if p == r"\s+" else p, r)
+        return super().rep(x, f"(?U){p}", r)
+
+    def like(self, x: str, p: str) -> str:
+        return super().like(x, f"(?U){p}")
+
+    def found(self, x: str, p: str) -> str:
+        return super().found(x, f"(?U){p}")
 
 
 SPARK, DUCK, WHOLE = Spark(), Duck(), Whole()
@@ -465,25 +472,33 @@ def _among(words: list[str]) -> str:
 
 
 def family_keys(d: Spark, name: str, addr: str, ctry: str) -> str:
-    """np, sn, ng, ad, pin, dg and fb keys over the legal text form (ASCII parts)."""
-    n, a, raw, c = legal_text(d, name), legal_text(d, addr), f"coalesce({addr}, '')", f"trim(coalesce({ctry}, ''))"
-    number = d.like("t", "^[0-9]+$")
-    content = d.keep(tokens(d, n), "t", f"length(t) >= 4 AND t NOT IN ({_among(NAME_STOP)})")
-    short = d.keep(tokens(d, n), "t", f"length(t) BETWEEN 2 AND 3 AND NOT {number} AND t NOT IN ({_among(NAME_STOP)})")
+    """The family form's keys of a record's own columns."""
+    return family_keys_of(d, legal_text(d, name), legal_text(d, addr), f"coalesce({addr}, '')", f"trim(coalesce({ctry}, ''))")
+
+
+def family_keys_of(d: Spark, n: str, a: str, raw: str, c: str, latin: str | None = None) -> str:
+    """np, sn, tl, ng, ad, pin, dg and fb keys of the legal forms n and a of name and address, the
+    address as given, the country, and the legal form of the transliterated name ('' if there is none)."""
+    number = d.like("t", r"^\d+$")
+    long = lambda x: d.keep(tokens(d, x), "t", f"length(t) >= 4 AND t NOT IN ({_among(NAME_STOP)})")
+    brief = lambda x: d.keep(tokens(d, x), "t", f"length(t) BETWEEN 2 AND 3 AND NOT {number} AND t NOT IN ({_among(NAME_STOP)})")
+    content = long(n)
     #: of the first two content tokens, the first three grams that are not left out, repeats aside
     grams = f"flatten({d.each(d.cut(content, 2), 'w', ngrams_ordered(d, 'w', 3))})"
     grams = d.keep(grams, "t", f"t NOT IN ({_among(GRAM_STOP)})")
     addrs = d.keep(tokens(d, a), "t", f"length(t) >= 4 AND NOT {number} AND t NOT IN ({_among(FAMILY_ADDRESS_STOP)})")
     pin = d.cat(d.found(a, r"\b\d{5,6}\b"), d.found(raw, r"\b\d{5,6}\b"))
-    runs = structured_digits(d, addr)
+    runs = structured_digits(d, raw)
     pairs = d.each(d.seq("1", f"least({d.size(runs)} - 1, 2)"), "i", f"concat({d.at(runs, 'i')}, {d.at(runs, 'i + 1')})")
-    whole = f"length({n}) BETWEEN 2 AND 5 AND NOT {d.like(n, '^[0-9]+$')}"
+    whole = f"length({n}) BETWEEN 2 AND 5 AND NOT {d.like(n, r'^\d+$')}"
     kind = lambda k, v: d.each(v, "t", f"concat({c}, '|{k}:', t)")
     start = lambda v: d.each(v, "t", "left(t, 4)")
+    own = [kind(k, start(d.cut(long(latin), 4))) for k in ("np", "tl")] + [kind("sn", d.cut(brief(latin), 2))] if latin else []
     keys = d.cat(
         kind("np", start(d.cut(content, 4))),
         _when(d, whole, f"concat({c}, '|sn:', replace({n}, ' ', ''))"),
-        kind("sn", d.cut(short, 3)),
+        kind("sn", d.cut(brief(n), 3)),
+        *own,
         kind("ng", d.cut(d.unique(grams), 3)),
         kind("ad", start(d.cut(addrs, 4))),
         kind("pin", pin),

@@ -91,12 +91,51 @@ def retrieve_all_channels(spark, sf_dir):
 
 def _all_channels(spark, sf_dir, e):
     """Candidates of any of the four channels, each with its own cap, over one entity view."""
-    found = _translit_hits(e).select("s1_id", "cand_id")
-    for name in ("retrieval_cap", "channel_char_ngram", "address_hits"):
+    found = _translit_hits(e).select("s1_id", "cand_id").union(_gram_hits(e).select("s1_id", "cand_id"))
+    for name in ("retrieval_cap", "address_hits"):
         found = found.union(_whole(spark, sf_dir, name, e).select("s1_id", "cand_id"))
     return found.distinct()
 
 
+def channel_char_ngram(spark, sf_dir):
+    return _gram_hits(_cte(spark, sf_dir, "e"))
+
+
+def _gram_hits(e):
+    """Records whose names share grams, the best a target. A gram's postings (at most
+    the cap on them) travel as one list of numbers to the records that have it, and are
+    counted and ranked there without another shuffle. Numbers are in the order of the
+    (unique) ids; ids come last."""
+    max_df, least, most = relational.CHANNELS["char_ngram"]
+    names = e.select("entity_id", F.substring("src", 2, 1).cast("tinyint").alias("s"), U.normalize_name(F.col("business_name")).alias("n"))
+    names = stored(names.orderBy("entity_id").withColumn("number", F.monotonically_increasing_id()), "names")
+    keys = stored(names.select("number", "s", F.explode(F.expr(X.gram_keys_of(X.SPARK, "n"))).alias("key")), "grams")
+    postings = keys.where("s > 1")
+    few = postings.groupBy("s", "key").count().where(F.col("count") <= max_df).select("s", "key")
+    lists = postings.join(few, ["s", "key"]).groupBy("key", "s").agg(F.collect_list("number").alias("c"))
+    met = keys.where("s = 1").select("key", F.col("number").alias("q")).join(lists, "key").select("q", "s", "c").repartition("q")
+    scores = met.select("q", "s", F.explode("c").alias("c")).groupBy("q", "s", "c").agg(F.count("*").alias("score"))
+    best = Window.partitionBy("q", "s").orderBy(F.desc("score"), "c")
+    hits = scores.where(F.col("score") >= least).withColumn("r", F.row_number().over(best)).where(F.col("r") <= most)
+    id_of = lambda k, name: names.select(F.col("number").alias(k), F.col("entity_id").alias(name))
+    return hits.join(id_of("q", "s1_id"), "q").join(id_of("c", "cand_id"), "c").select("s1_id", "cand_id", "score")
+
+
+def keys_family(spark, sf_dir):
+    return _family_keys(_cte(spark, sf_dir, "e"))
+
+
+def _family_keys(e):
+    """The family form's keys of all records, those of the transliterated name among them."""
+    d = X.WHOLE
+    latin = F.when(F.col("business_name").rlike(r"[^\x00-\x7F]"), U.transliterated("business_name"))
+    text = e.select("entity_id", "business_address", "country", U.nfkc("business_name").alias("n0"), U.nfkc("business_address").alias("a0"), latin.alias("t0"))
+    #: each form once a record
+    forms = stored(text.select("entity_id", "business_address", "country", *[F.expr(X.legal_text(d, f"{c}0")).alias(c) for c in "nat"]), "forms")
+    keys = X.family_keys_of(d, "n", "a", "coalesce(business_address, '')", "trim(coalesce(country, ''))", "t")
+    return forms.select("entity_id", F.explode(F.expr(keys)).alias("key"))
+
+
 def submission_candidates(spark, sf_dir):
     return _submission(_cte(spark, sf_dir, "p"))
 
@@ -139,7 +178,7 @@ VOCABULARY = 100_000
 
 def _record_vectors(e):
     """TF-IDF of the 3- and 4-grams within words of name, its transliteration and address: entity_id, grams, weights."""
-    d = X.SPARK
+    d = X.WHOLE
     forms = e.select("entity_id", "business_name", U.nfkc("business_name").alias("n0"), U.transliterated("business_name").alias("t0"), U.nfkc("business_address").alias("a0"))
     forms = forms.select("entity_id", "business_name", *[F.expr(X.legal_text(d, f"{c}0")).alias(c) for c in "nta"])
     latin = F.when(F.col("business_name").rlike(r"[^\x00-\x7F]") & (F.col("t") != F.col("n")), F.col("t"))
@@ -210,4 +249,4 @@ def _of_all(name: str):
 
 
 QUERIES = {name: _of_all(name) for name in WHOLE}
-QUERIES |= {f.__name__: f for f in (normalize_unicode, transliteration, keys_transliteration, channel_transliteration, retrieve_all_channels, submission_candidates, fuzzy_ratios, pair_features_24, pair_features_6, tfidf_cosine, bucket_knn, hard_negative_flags, train_predict)}
+QUERIES |= {f.__name__: f for f in (normalize_unicode, transliteration, keys_transliteration, channel_transliteration, retrieve_all_channels, channel_char_ngram, keys_family, submission_candidates, fuzzy_ratios, pair_features_24, pair_features_6, tfidf_cosine, bucket_knn, hard_negative_flags, train_predict)}
