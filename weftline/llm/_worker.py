@@ -14,6 +14,8 @@ from typing import Any
 import pyarrow as pa
 
 _kept: dict[str, Any] = {}
+#: of the system's C library, if it has it
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def kept(name: str, make: Callable[[], Any]) -> Any:
@@ -25,12 +27,15 @@ def kept(name: str, make: Callable[[], Any]) -> Any:
 
 
 def release() -> None:
-    """Drop what is kept and give the memory back to the system; nothing to do is free."""
-    if not _kept:
-        return
-    _kept.clear()
-    gc.collect()
+    """Drop what is kept and give the memory back to the system."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: the Arrow pool and malloc hold on to it otherwise."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    if _trim:
+        _trim(0)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm._vocab import tokenizer_path
-from weftline.llm._worker import kept
+from weftline.llm._worker import give_back, kept
 from weftline.storage import table
 
 #: Fixed value: the published pre-token pattern of byte-level BPE.
@@ -48,7 +48,11 @@ _EARLY = bytes(range(0xD5))
 CACHE_PRETOKENS = 400_000
 #: Compatibilities of token pairs that a worker keeps, likewise.
 CACHE_PAIRS = 1_000_000
+#: Rows of an Arrow batch of texts, where the caller writes the result under ``arrow_rows``.
+BATCH_ROWS = 1000
 _ROWS_OUT = 256
+#: Freed memory is given back after so many output batches.
+_GIVE_BACK = 16
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -266,6 +270,7 @@ def _encoder(shared, name: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = kept(f"bpe:{name}", lambda: Codec(shared.value))
         sha = lambda b: hashlib.sha256(b).hexdigest()
+        made = 0
         for batch in batches:
             for lo in range(0, batch.num_rows, _ROWS_OUT):
                 part = batch.slice(lo, _ROWS_OUT)
@@ -280,6 +285,10 @@ def _encoder(shared, name: str, keep_ids: bool):
                     cols.append(pa.array([i for i, _ in done], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.record_batch(cols, names)
+                made += 1
+                if made % _GIVE_BACK == 0:
+                    give_back()
+        give_back()
 
     return run
 

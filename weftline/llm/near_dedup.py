@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import _shingles as S
-from weftline.llm._worker import release
+from weftline.llm._worker import give_back, release
 from weftline.storage import arrow_rows, finished, stored, table
 
 HALVES = 14
@@ -79,6 +79,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 ["doc_id", "n_shingles", "set_key", "u", "v"],
             )
+    give_back()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,6 +89,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(lo, _ROWS_OUT)
             packed = [S.shingle_set(t.as_py()).tobytes() for t in part.column(1)]
             yield pa.record_batch([part.column(0), pa.array(packed, pa.binary())], ["node", "shingles"])
+    give_back()
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,6 +103,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for out, v in zip(n, (len(a), len(b), len(a) + len(b) - 2 * both), strict=True):
                 out.append(v)
         yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(v, pa.int64()) for v in n]], ["a", "b", "n_a", "n_b", "d"])
+    give_back()
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,6 +124,7 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 + [pa.array(np.repeat(n, n), pa.int64()), pa.array(np.concatenate(keys) if keys else [], pa.int64())],
                 ["node", "rep", "comp", "a", "need", "d", "key"],
             )
+    give_back()
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
 from weftline.llm import bpe, mixing, near_dedup, quality_qda, secrets
-from weftline.storage import finished, stored, table
+from weftline.storage import arrow_rows, finished, stored, table
 
 
 def fresh(docs: DataFrame, name: str = "mark") -> str:
@@ -57,8 +57,10 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, digests and token ids of each row."""
-    return bpe.encode(docs)
+    """doc_id, n_tokens, digests and token ids of each row. Written here, since only then
+    do the texts reach the workers in batches that are small beside an executor's memory."""
+    with arrow_rows(spark, bpe.BATCH_ROWS):
+        return stored(bpe.encode(docs), "encoded")
 
 
 STAGES = [
