@@ -23,3 +23,9 @@ def test_class_balance_of_a_large_block(spark, one_block):
     assert "Join" not in plan_of(df)
     r = df.first()
     assert (r.n_pos, r.n_neg) == (10_000, 10_000 * 20_000 - 10_000)
+
+
+def test_candidate_quality_of_a_large_block(spark, one_block):
+    df = registry.queries()["candidate_quality"](spark, one_block)
+    assert "Join" not in plan_of(df)
+    assert {r.candidate_source: (r.candidates, r.tp) for r in df.collect()} == {"S2": (10**8, 5000), "S3": (10**8, 5000)}
