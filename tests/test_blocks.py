@@ -29,3 +29,9 @@ def test_candidate_quality_of_a_large_block(spark, one_block):
     df = registry.queries()["candidate_quality"](spark, one_block)
     assert "Join" not in plan_of(df)
     assert {r.candidate_source: (r.candidates, r.tp) for r in df.collect()} == {"S2": (10**8, 5000), "S3": (10**8, 5000)}
+
+
+def test_entity_recall_of_a_large_block(spark, one_block):
+    df = registry.queries()["entity_recall"](spark, one_block)
+    assert "Generate" not in plan_of(df)
+    assert tuple(df.first()) == (5000, 5000, 1.0)
