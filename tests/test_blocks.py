@@ -35,3 +35,10 @@ def test_entity_recall_of_a_large_block(spark, one_block):
     df = registry.queries()["entity_recall"](spark, one_block)
     assert "Generate" not in plan_of(df)
     assert tuple(df.first()) == (5000, 5000, 1.0)
+
+
+def test_family_ablation_of_a_large_block(spark, one_block):
+    df = registry.queries()["family_ablation"](spark, one_block)
+    assert "Join" not in plan_of(df)
+    got = {r.cond: (r.candidates, r.true_pairs) for r in df.collect()}
+    assert got["bn"] == got["cp"] == got["bn+cp"] == got["all"] == (2 * 10**8, 10_000) and got["ba+cp"] == got["all"]
