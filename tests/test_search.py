@@ -11,9 +11,11 @@ from weftline.plans import blocks, frames, relational
 
 
 def test_grams_of_code_points():
-    grams, at = search.grams(["ab cab c", None, "xy", "\U0001f600\U0001f601é"])
+    grams, at, n = search.grams(["ab cab c", None, "xy", "\U0001f600\U0001f601é"])
     number = lambda t: ord(t[0]) << 42 | ord(t[1]) << 21 | ord(t[2])
     assert set(zip(grams.tolist(), at.tolist(), strict=True)) == {(number(g), 0) for g in ("abc", "bca", "cab")} | {(number("\U0001f600\U0001f601é"), 3)}
+    #: as often as each occurs: "abc" twice
+    assert dict(zip(grams[at == 0].tolist(), n[at == 0].tolist(), strict=True))[number("abc")] == 2
 
 
 @pytest.mark.parametrize("most", [1, 3, 7, 50])
