@@ -72,3 +72,14 @@ def test_odd_records_as_by_sql(spark, odd, monkeypatch, name, run, small):
     assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in sql.schema]
     want = sorted(map(tuple, sql.collect()), key=str)
     assert sorted(map(tuple, got.collect()), key=str) == want and len(want) > 20
+
+
+def test_no_pair_is_shuffled(spark, tmp_path):
+    """3000 records of one name: 2 million pairs, made and compared after the last exchange of a plan without a join of pairs."""
+    text = "concat('Acme Widgets\n', repeat('x', 80), id)"
+    spark.range(3000).selectExpr("id AS doc_id", f"{text} AS text", "'en' AS lang", "'web' AS source", f"length({text}) AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.queries()["pair_features_13"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") >= 1 and plan.index("MapInArrow") < plan.index("Exchange") and df.count() == 1000 * 2000
+    labels = {(r.field, r.pattern, r.label): r.n for r in registry.queries()["transform_labels"](spark, str(tmp_path)).collect()}
+    assert labels["name", "exact", 0] == 1000 * 2000
