@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -66,3 +67,14 @@ def test_two_channels_are_their_union(names):
     same = lambda a, b: any(a[k] is not None and a[k] == b[k] for k in blocks.KEYS)
     base = {(a.entity_id, b.entity_id) for a in keyed if a.src == "S1" for b in keyed if b.src != "S1" and same(a, b)}
     assert len(got) == len(set(got)) and set(got) == grams | base and base - grams
+
+
+def test_copies_of_candidates_do_not_grow_with_the_queries(names, monkeypatch):
+    """A target's candidates are written for COPIES tasks at most, and no candidate is lost."""
+    want = {tuple(r) for r in frames._gram_hits(names).collect()}
+    monkeypatch.setattr(search, "SHARE", 1)
+    monkeypatch.setattr(search, "COPIES", 3)
+    df = frames._gram_hits(names)
+    df.collect()
+    assert re.search(r"hashpartitioning\(task#\d+, 24\)", df._jdf.queryExecution().executedPlan().toString())
+    assert {tuple(r) for r in df.collect()} == want and len(want) > 100
