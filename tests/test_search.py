@@ -28,6 +28,16 @@ def test_best_is_the_head_of_a_full_sort(most):
         assert sorted(search.best(np.array(scores), 2, most).tolist()) == sorted(want)
 
 
+def test_grams_of_some_texts_at_a_time(monkeypatch):
+    texts = pa.array(["abcab", None, "bcab", "xyz", "abc", ""])
+    whole = search.of_grams(texts, None)
+    monkeypatch.setattr(search, "TEXTS", 2)
+    parts = search.of_grams(texts, None)
+    for g in ("abc", "bca", "cab", "xyz", "zzz"):
+        assert parts.of(search.number(g)).tolist() == whole.of(search.number(g)).tolist()
+    assert parts.of(search.number("abc")).tolist() == [0, 4] and parts.places.dtype == np.int32
+
+
 def test_frequent_keys_are_left_out():
     p = search.of_lists(pa.array([["a", "b"], ["b"], None, ["b"]]), 2)
     assert p.counts(["a", "b", "c"]).tolist() == [1, 0, 0, 0] and p.counts([]).tolist() == [0, 0, 0, 0]
