@@ -88,3 +88,14 @@ def test_copies_of_candidates_do_not_grow_with_the_queries(names, monkeypatch):
     df.collect()
     assert re.search(r"hashpartitioning\(task#\d+, 24\)", df._jdf.queryExecution().executedPlan().toString())
     assert {tuple(r) for r in df.collect()} == want and len(want) > 100
+
+
+def test_all_channels_have_no_cap(spark, names, monkeypatch):
+    """More candidates than any cap of a channel, and keys with more postings than are allowed there."""
+    rows = spark.range(10_200).selectExpr("concat('S2-', id) AS entity_id", "'S2' AS src", "'Acm\u00e9 Widgets Ltd' AS business_name", "'4500 Oak' AS business_address", "'US' AS country")
+    query = spark.createDataFrame([("S1-1", "S1", "Acm\u00e9 Widgets", "4500 Oak", "US")], rows.schema)
+    assert frames._all_channels(spark, "", rows.unionByName(query)).distinct().count() == 10_200
+    want = {tuple(r) for r in frames._all_channels(spark, "", names).collect()}
+    monkeypatch.setattr(relational, "CHANNELS", {c: (2, least, 1) for c, (_, least, _) in relational.CHANNELS.items()})
+    monkeypatch.setattr(relational, "BASELINE_CAP", 1)
+    assert {tuple(r) for r in frames._all_channels(spark, "", names).collect()} == want and len(want) > 1000
