@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.functions import expr as X
-from weftline.operators import compare
+from weftline.functions import unicode as U
+from weftline.operators import compare, ratios
 from weftline.plans import frames, registry, relational
 
 
@@ -83,3 +85,39 @@ def test_no_pair_is_shuffled(spark, tmp_path):
     assert plan.count("MapInArrow") >= 1 and plan.index("MapInArrow") < plan.index("Exchange") and df.count() == 1000 * 2000
     labels = {(r.field, r.pattern, r.label): r.n for r in registry.queries()["transform_labels"](spark, str(tmp_path)).collect()}
     assert labels["name", "exact", 0] == 1000 * 2000
+
+
+@pytest.fixture(scope="module")
+def many(spark, odd):
+    """The odd records and some of longer names, in any script, with equal keys."""
+    rng = random.Random(6)
+    words = ["Acme", "Widgets", "Société", "Ltd", "&", "नगर", "of", "Northern", "Lights", "a", "12", "Bakery"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(f"S{1 + k % 3}-m{k}", f"S{1 + k % 3}", "Acme " + text(rng.choice([0, 1, 3, 12, 16])), rng.choice([None, text(4) + " 123", text(16)]), rng.choice(["en", "in", "India", None]), rng.choice([*"abcdefgh", None])) for k in range(240)]
+    return frames.blocks.keyed(odd.unionByName(spark.createDataFrame(rows, odd.schema)))
+
+
+def pairs_of(spark, records):
+    """The plan of pairs over records."""
+    records.drop("cp", "bn", "ba").createOrReplaceTempView("many_records")
+    return spark.sql(relational.render_cte("pairs", X.SPARK))
+
+
+def limits(monkeypatch):
+    for limit, value in (("PART", 40), ("TILE", 64)):
+        monkeypatch.setattr(compare, limit, value)
+    monkeypatch.setattr(ratios, "FEW", 0)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_fuzzy_ratios_of_each_pair(spark, many, monkeypatch, small):
+    """Equal to those found pair by pair, and no pair is shuffled: they are made after the last exchange."""
+    if small:
+        limits(monkeypatch)
+    monkeypatch.setitem(relational.CTES, "e", ((), lambda d: "SELECT * FROM many_records"))
+    pairs = pairs_of(spark, many)
+    of = pairs.select("s1_id", "cand_id", U.fuzzy(U.normalize_name(F.col("name1")), U.normalize_name(F.col("name2"))).alias("f")).select("s1_id", "cand_id", "f.*")
+    got = frames._fuzzy_ratios(many)
+    assert got.dtypes == of.dtypes and "Join" not in (plan := got._jdf.queryExecution().executedPlan().toString()).split("Exchange")[0] and "MapInArrow" in plan
+    want = sorted(map(tuple, of.collect()))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 5000
