@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import expr as X
 from weftline.functions import unicode as U
-from weftline.operators import compare, ratios
+from weftline.operators import compare, ratios, scoring
 from weftline.plans import frames, registry, relational
 
 
@@ -121,3 +121,16 @@ def test_fuzzy_ratios_of_each_pair(spark, many, monkeypatch, small):
     assert got.dtypes == of.dtypes and "Join" not in (plan := got._jdf.queryExecution().executedPlan().toString()).split("Exchange")[0] and "MapInArrow" in plan
     want = sorted(map(tuple, of.collect()))
     assert sorted(map(tuple, got.collect())) == want and len(want) > 5000
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_24_features_of_each_pair(spark, many, monkeypatch, small):
+    """Equal to those of the pairs, one by one, labels and retrieval among them."""
+    if small:
+        limits(monkeypatch)
+    monkeypatch.setitem(relational.CTES, "e", ((), lambda d: "SELECT * FROM many_records"))
+    want = scoring.pair_features(pairs_of(spark, many)).select("s1_id", "cand_id", F.col("label").cast("int"), "in_retrieval", *scoring.FEATURES)
+    got = frames._features(many)
+    assert got.dtypes == want.dtypes
+    want = sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 5000
