@@ -134,3 +134,21 @@ def test_24_features_of_each_pair(spark, many, monkeypatch, small):
     assert got.dtypes == want.dtypes
     want = sorted(map(tuple, want.collect()))
     assert sorted(map(tuple, got.collect())) == want and len(want) > 5000
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_six_features_of_each_pair(spark, many, monkeypatch, small):
+    """Equal to those of the pairs, one by one; the cosine, of which the order of the sum is free, nearly."""
+    if small:
+        limits(monkeypatch)
+    monkeypatch.setitem(relational.CTES, "e", ((), lambda d: "SELECT * FROM many_records"))
+    six = frames._record_cosine(many, scoring.pair_features(pairs_of(spark, many)))
+    want = six.select(
+        "s1_id", "cand_id", F.col("label").cast("tinyint"), F.col("name_fuzz_ratio").cast("float"), F.col("name_token_jaccard").cast("float"), F.col("addr_token_jaccard").cast("float"),
+        (F.col("country1") == F.col("country2")).cast("tinyint"), F.col("name_len_diff").cast("int"), "cosine",
+    )
+    got = frames._six_features(many)
+    assert [t for c, t in got.dtypes if c != "name_address_tfidf_cosine"] == [t for c, t in want.dtypes if c != "cosine"]
+    want, got = ({(r[0], r[1]): r for r in df.collect()} for df in (want, got.select(*[c for c in got.columns if c != "name_address_tfidf_cosine"], "name_address_tfidf_cosine")))
+    assert want.keys() == got.keys() and len(want) > 5000
+    assert all(got[p][:-1] == want[p][:-1] and abs(got[p][-1] - want[p][-1]) < 1e-6 for p in want)
