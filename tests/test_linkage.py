@@ -211,6 +211,15 @@ def test_training(spark):
     assert not pos or sum(pos) / len(pos) > sum(neg) / len(neg)
 
 
+def test_pairs_of_the_classifier_are_not_joined(spark, monkeypatch):
+    """Its features are found in tasks that hold a key's records; all held-out pairs that were retrieved are scored."""
+    pairs = scoring.split_val(frames._cte(spark, SF, "pairs")).where("is_val AND in_retrieval")
+    want = {(r.s1_id, r.cand_id, r.label) for r in pairs.collect()}
+    monkeypatch.setattr(scoring, "pair_features", None)
+    got = [(r.s1_id, r.cand_id, r.label) for r in frames.train_predict(spark, SF).collect()]
+    assert set(got) == want and len(got) == len(want) > 2
+
+
 def test_split(spark):
     ids = scoring.split_val(spark.createDataFrame([(f"S1-{k}",) for k in range(500)], "s1_id string")).collect()
     assert 60 < sum(r.is_val for r in ids) < 140
